@@ -2,32 +2,65 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hnsw, langid, media, packing, pieces, pii, secrets, simhash, suffixes, warc
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    made = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
-    from . import packing
 
-    pieces = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return made.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import simhash
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = langid.identify(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(_table(spark, sf_dir, "documents")))
 
-    found = simhash.near_duplicates(_documents(spark, sf_dir))
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op10_simhash)}
+    every = (op1_packing, op2_warc, op3_langid, op4_suffix_dedup, op5_secrets, op6_media, op7_sentencepiece, op8_pii, op9_hnsw, op10_simhash)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
