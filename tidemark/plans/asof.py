@@ -9,7 +9,7 @@ from .. import store
 from ..session import table
 
 CUTOFF = "2024-01-20 12:00:00"
-SERIES = ["click", "login", "purchase", "view", "error"]
+SERIES = ["click", "signup", "purchase", "view", "error"]
 LEDGER_SQL = """SELECT event_type AS series_id, date_trunc('day', ts)::TIMESTAMP AS event_time, ts AS knowledge_time,
  value, 'events' AS source, event_id AS _seq FROM events"""
 
