@@ -17,8 +17,9 @@ which Spark reads them.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A blank beside other white space: there the tokenizer's own splitting can look across a blank.
-RUN = re.compile(r"\s |  ?\s")
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Letters and other characters about whose class there is no doubt.
+LETTER, SIGN = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[\x00-@\[-`{-\x7f]"
+#: The characters by which a byte-level vocabulary spells bytes: printable ones by themselves, the others from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTED)}
+#: Words whose ids a worker remembers.
+REMEMBERED = 500_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, window long, offset long"
 
 
@@ -52,15 +56,41 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter((i for p in parts for i in p), np.uint32, int(length.sum())), length
+        """Ids of all words end to end, and how many each has.
+
+        A letter before a sign always ends a pre-token, and so does a single
+        line end between a sign or letter and a letter: words are cut there,
+        and a part of letters only is one pre-token, which goes straight to
+        the tokenizer's model.
+        """
+        cut = pc.replace_substring_regex(pa.array(words, pa.large_string()), f"({LETTER})({SIGN})", "\\1\x1e\\2")
+        cut = pc.replace_substring_regex(cut, f"\x1e([!-~]*\n)({LETTER})", "\x1e\\1\x1e\\2")
+        split = pc.split_pattern(cut, "\x1e")
+        parts = pc.dictionary_encode(split.values)
+        spelled = parts.dictionary.to_pylist()
+        single = pc.match_substring_regex(parts.dictionary, f"^ ?{LETTER}+$").to_numpy(zero_copy_only=False).astype(bool)
+        ids: list = [None] * len(spelled)
+        tokenize = self.tokenizer.model.tokenize
+        for k in np.flatnonzero(single).tolist():
+            ids[k] = [t.id for t in tokenize(spelled[k].encode().decode("latin-1").translate(BYTE_SIGNS))]
+        other = np.flatnonzero(~single).tolist()
+        for k, x in zip(other, self._plain([spelled[k] for k in other])):
+            ids[k] = x
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+        code = parts.indices.to_numpy()
+        size = length[code]
+        ends = np.concatenate([[0], np.cumsum(size)])[split.offsets.to_numpy()]
+        return flat[common.ragged((np.cumsum(length) - length)[code], size)], np.diff(ends)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """The number of each distinct word among those known."""
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED:  # forgotten whole, as any text can be encoded anew
             known.clear()
             self.ids, self.starts, self.lengths = self.ids[:0], self.starts[:0], self.lengths[:0]
         new = [w for w in words if w not in known]
@@ -74,13 +104,12 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        odd = pc.match_substring_regex(texts, r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]").to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(texts, r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]|\x{1e}").to_numpy(zero_copy_only=False).astype(bool)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         if odd.any():
             at = np.flatnonzero(odd)
-            ids, length = self._encode(texts.take(pa.array(at)).to_pylist())
-            for k, part in zip(at.tolist(), np.split(ids, np.cumsum(length)[:-1])):
-                out[k] = part
+            for k, ids in zip(at.tolist(), self._plain(texts.take(pa.array(at)).to_pylist())):
+                out[k] = np.array(ids, np.uint32)
         at = np.flatnonzero(~odd)
         if not len(at):
             return out
@@ -101,6 +130,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder, which keeps the words of earlier tasks."""
+    return WordEncoder(path)
+
+
 class Windows:
     """The open windows of one task. ``put`` yields the windows it closes, each a list of pieces."""
 
@@ -180,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        encode, windows, number = WordEncoder(tokenizer), Windows(window, open_windows), 0
+        encode, windows, number = encoder(tokenizer), Windows(window, open_windows), 0
         for batch in common.slices(batches, "text"):
             closed = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
