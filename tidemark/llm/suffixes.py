@@ -295,12 +295,14 @@ def cover(length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:length] > 0
 
 
-def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFrame:
-    """Every row with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
+def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+    """Every row with doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
-    ``docs`` has doc_id and text; rows with one doc_id are expected to have one text.
+    Rows with one id are expected to have one text. With ``rows`` the whole
+    input row comes along as the struct ``row``.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -319,8 +321,10 @@ def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) ->
                 out.append((len(data), *gone, hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if rows else [])], names=[*names, *(["row"] if rows else [])])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = docs.repartition("doc_id")
-    return texts.join(removed(docs, size, bits), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(task, schema)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct("*").alias("row")) if rows else plain
+    both = full.repartition("doc_id").join(removed(plain, size, bits), "doc_id", "left").select("doc_id", "text", "spans", *(["row"] if rows else []))
+    return both.mapInArrow(task, schema + (f", row {full.schema['row'].dataType.simpleString()}" if rows else ""))
