@@ -257,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
     while True:  # each round merges the leftovers of 64 tasks into one, so a round's task reads 64 x open_windows windows at most
         step += 1
         tasks = -(-tasks // 64)
-        ordered = (left.coalesce(1) if tasks == 1 else left.repartition(tasks, "doc_id")).sortWithinPartitions("doc_id", "start", "length")
+        ordered = (left.repartition(1) if tasks == 1 else left.repartition(tasks, "doc_id")).sortWithinPartitions("doc_id", "start", "length")
         merged = common.scratch(ordered.mapInArrow(again(step, tasks == 1), SCHEMA), "merged")
         done.append(merged.where("window >= 0"))
         left = merged.where("window < 0")
