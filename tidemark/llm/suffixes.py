@@ -108,37 +108,44 @@ def runs(data: np.ndarray, offsets: np.ndarray, size: int = 50) -> tuple[np.ndar
     return gram[chosen[first]], refined, doc, first - offsets[doc], more
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Bytes of an array by significance, so that equal leading bytes compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of each value by significance, so that equal leading bytes compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
 
 
-def unplanes(raw: np.ndarray, n: int, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(-1, n).T).reshape(-1).view(kind)
+def unplanes(raw: np.ndarray, n: int, kind: type, width: int) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.reshape(-1).view(kind)
 
 
 class Sender:
-    """Gathers equal-length columns (a uint64 key first) and gives them out as rows (range, n, blob)."""
+    """Gives out equal-length columns as rows (range, n, size, blob), one for each range of the first column.
 
-    schema = "part int, n int, size int, blob binary"
+    The first column is an unsigned key below 2^KEY_BITS, whose upper bits
+    are the range. ``kinds`` has the type of each column and the bytes kept of
+    it. Each row of columns can have a payload of bytes besides.
+    """
 
-    def __init__(self, kinds: tuple[type, ...], bits: int = RANGE_BITS):
-        self.kinds, self.bits, self.held = kinds, bits, []
+    schema = "part int, n int, size int, blob binary"
 
-    def add(self, *columns: np.ndarray) -> None:
-        self.held.append([np.asarray(c, k) for c, k in zip(columns, self.kinds)])
+    def __init__(self, kinds: tuple[tuple[type, int], ...], bits: int):
+        self.kinds, self.bits = kinds, bits
 
-    def rows(self) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*self.held)] if self.held else [np.zeros(0, k) for k in self.kinds]
-        self.held = []
+    def rows(self, columns: list[np.ndarray], payload: np.ndarray | None = None, lengths: np.ndarray | None = None) -> pa.RecordBatch:
         order = np.argsort(columns[0], kind="stable")
-        columns = [c[order] for c in columns]
-        part = (columns[0] >> np.uint64(64 - self.bits)).astype(np.int32)
+        columns = [np.asarray(c, k)[order] for c, (k, _) in zip(columns, self.kinds)]
+        part = (columns[0] >> np.uint64(KEY_BITS - self.bits)).astype(np.int32)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
-        codec = pa.Codec("zstd", 1)
+        if payload is not None:
+            payload = payload[common.ragged((np.cumsum(lengths) - lengths)[order], lengths[order])]
+            ends = np.concatenate([[0], np.cumsum(lengths[order])])[cuts].tolist()
+        codec = pa.Codec("zstd", 3)
         sizes, blobs = [], []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            raw = b"".join(planes(c[a:b]) for c in columns)
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            raw = b"".join(planes(c[a:b], w) for c, (_, w) in zip(columns, self.kinds))
+            if payload is not None:
+                raw += payload[ends[k] : ends[k + 1]].tobytes()
             sizes.append(len(raw))
             blobs.append(codec.compress(raw, asbytes=True))
         return pa.RecordBatch.from_arrays(
@@ -146,7 +153,7 @@ class Sender:
         )
 
     def received(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        """The columns of each range in turn, from rows sorted by range."""
+        """The columns of each range in turn and the payload of all its rows end to end, from rows sorted by range."""
         codec, now, held = pa.Codec("zstd"), None, []
         for batch in batches:
             for part, n, size, blob in zip(*(batch.column(c) for c in ("part", "n", "size", "blob"))):
@@ -156,11 +163,10 @@ class Sender:
                     held = []
                 now, at, columns = part, 0, []
                 raw = np.frombuffer(codec.decompress(blob.as_buffer(), size.as_py()), np.uint8)
-                for kind in self.kinds:
-                    width = n * np.dtype(kind).itemsize
-                    columns.append(unplanes(raw[at : at + width], n, kind))
-                    at += width
-                held.append(columns)
+                for kind, width in self.kinds:
+                    columns.append(unplanes(raw[at : at + n * width], n, kind, width))
+                    at += n * width
+                held.append([*columns, raw[at:]])
         if held:
             yield [np.concatenate(x) for x in zip(*held)]
 
@@ -174,8 +180,12 @@ def _spans(doc: np.ndarray, kind: np.ndarray | int, a: np.ndarray, b: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kind), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "kind", "a", "b"])
 
 
-RUN = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint8)
-STRING = (np.uint64, np.int64, np.uint32)
+#: Bits kept of a bucket identifier in an exchange; with the 40 of the refined one, 88 tell runs apart.
+KEY_BITS = 48
+#: Columns of a run: bucket, refined bucket, document, first string, strings less one, known to go.
+RUN = ((np.uint64, 6), (np.uint64, 5), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1))
+#: Columns of an opened run, whose bytes are the payload: bucket, document, first string, strings less one.
+OPENED = ((np.uint64, 6), (np.int64, 8), (np.uint32, 4), (np.uint8, 1))
 #: Kinds of rows in the table of decisions: bytes a to b go; strings a to b are to be opened.
 GONE, OPEN = 0, 1
 
@@ -187,7 +197,7 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
         held, gathered = [], 0
 
         def rows() -> pa.RecordBatch:
-            bucket, refined, doc, first, more = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, k) for k in RUN[:5])
+            bucket, refined, doc, first, more = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, k) for k, _ in RUN[:5])
             order = np.lexsort((doc, refined, bucket))
             bucket, refined, doc, first, more = (x[order] for x in (bucket, refined, doc, first, more))
             lead = np.ones(len(bucket), bool)
@@ -195,15 +205,13 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
             known = doc > doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(doc) else lead
             # these go for certain: dealt by their own hash, only to be passed on
             bucket[known] = common.mix(doc[known].astype(np.uint64) + first[known].astype(np.uint64))
-            sender = Sender(RUN, bits)
-            sender.add(bucket, refined, doc, first, more, known)
             held.clear()
-            return sender.rows()
+            return Sender(RUN, bits).rows([bucket >> np.uint64(64 - KEY_BITS), refined, doc, first, more, known])
 
         for batch in common.slices(batches, "text", SLICE):
             data, offsets = common.flat(batch.column(1))
             bucket, refined, text, first, more = runs(data, offsets, size)
-            held.append((bucket, refined, batch.column(0).to_numpy()[text], first, more))
+            held.append((bucket, refined >> np.uint64(24), batch.column(0).to_numpy()[text], first, more))
             gathered += len(data)
             if gathered > GATHER:
                 yield rows()
@@ -211,7 +219,7 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
         yield rows()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, refined, doc, first, more, known in Sender(RUN, bits).received(batches):
+        for bucket, refined, doc, first, more, known, _ in Sender(RUN, bits).received(batches):
             first, more, known = first.astype(np.int64), more.astype(np.int64), known.astype(bool)
             if known.any():
                 yield _spans(doc[known], GONE, first[known], first[known] + more[known] + size)
@@ -238,39 +246,54 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
     return common.scratch(_dealt(source.mapInArrow(sent, Sender.schema)).mapInArrow(judged, SPANS), "runs")
 
 
-def removed(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFrame:
-    """(doc_id, spans): the byte spans that go, as an array of (a, b), for each document that loses any."""
+def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFrame:
+    """(doc_id, spans): the byte spans that go, as an array of (a, b), for each document that loses any. ``texts`` is ``docs`` dealt out by doc_id."""
     first = decided(docs, size, bits)
     wanted = first.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    texts = docs.select("doc_id", "text").repartition("doc_id")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender, gathered = Sender(STRING, bits), 0
+        held, gathered = [], 0
+
+        def rows() -> pa.RecordBatch:
+            *columns, lengths, payload = (np.concatenate(x) for x in zip(*held)) if held else (*(np.zeros(0, k) for k, _ in OPENED), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+            held.clear()
+            return Sender(OPENED, bits).rows(columns, payload, lengths)
+
         for batch in common.slices(batches, "text", SLICE):
+            batch = batch.filter(batch.column("spans").is_valid())
             data, offsets = common.flat(batch.column("text"))
-            _, whole = refine(data, size) if len(data) >= size else (None, np.zeros(0, np.uint64))
+            if len(data) < size:
+                continue
             spans = batch.column("spans")
-            count = np.diff(spans.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
             items = spans.flatten()
             a, b = items.field("a").to_numpy().astype(np.int64), items.field("b").to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), count)
-            n = b - a + 1
-            at, row = common.ragged(a, n), np.repeat(row, n)
-            at, row = at[inside := at + size <= np.diff(offsets)[row]], row[inside]  # repeated ids may have other texts
-            doc = batch.column("doc_id").to_numpy()[row]
-            sender.add(whole[offsets[:-1][row] + at], doc, at)
-            gathered += len(at)
-            if gathered > GATHER // 12:
-                yield sender.rows()
+            inside = b + size <= np.diff(offsets)[row]  # rows that repeat an id may have other texts
+            row, a, b = row[inside], a[inside], b[inside]
+            start, lengths = offsets[:-1][row] + a, b - a + size
+            gram = refine(data, size)[0] >> POSITION_BITS
+            width = size - GRAM + 1
+            key = np.minimum.reduceat(gram[common.ragged(start, np.full(len(start), width))], np.arange(len(start)) * width) if len(start) else gram[:0]
+            held.append((common.mix(key) >> np.uint64(64 - KEY_BITS), batch.column("doc_id").to_numpy()[row], a, b - a, lengths, data[common.ragged(start, lengths)]))
+            gathered += int(lengths.sum())
+            if gathered > GATHER:
+                yield rows()
                 gathered = 0
-        yield sender.rows()
+        yield rows()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for string, doc, at in Sender(STRING, bits).received(batches):
-            order = np.lexsort((doc, string))
-            string, doc, at = string[order], doc[order], at[order].astype(np.int64)
+        for _, doc, first, more, payload in Sender(OPENED, bits).received(batches):
+            n = more.astype(np.int64) + 1
+            lengths = n + size - 1
+            start = np.cumsum(lengths) - lengths
+            place = common.ragged(start, n)
+            string = refine(payload, size)[1][place]
+            other = refine(payload ^ np.uint8(0x5A), size)[1][place]  # 128 bits tell strings apart
+            doc, at = np.repeat(doc, n), common.ragged(first.astype(np.int64), n)
+            order = np.lexsort((doc, other, string))
+            string, other, doc, at = string[order], other[order], doc[order], at[order]
             new = np.ones(len(doc), bool)
-            new[1:] = string[1:] != string[:-1]
+            new[1:] = (string[1:] != string[:-1]) | (other[1:] != other[:-1])
             gone = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
             doc, at = doc[gone], at[gone]
             order = np.lexsort((at, doc))
@@ -282,7 +305,8 @@ def removed(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
                 stop = np.append(start[1:], len(doc)) - 1
                 yield _spans(doc[start], GONE, at[start], at[stop] + size)
 
-    strings = texts.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(opened, Sender.schema)
+    # both joins with the texts are left joins on one exchange of them, which Spark makes once
+    strings = texts.join(wanted, "doc_id", "left").select("spans", *texts.columns).mapInArrow(opened, Sender.schema)
     second = _dealt(strings).mapInArrow(judged, SPANS)
     return first.where(F.col("kind") == GONE).unionByName(second).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
@@ -298,8 +322,8 @@ def cover(length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
     """Every row with doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
-    Rows with one id are expected to have one text. With ``rows`` the whole
-    input row comes along as the struct ``row``.
+    Rows with one id are expected to have one text. With ``rows`` the other
+    columns of the input come along as the struct ``row``.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -325,6 +349,7 @@ def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS, id_
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if rows else [])], names=[*names, *(["row"] if rows else [])])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct("*").alias("row")) if rows else plain
-    both = full.repartition("doc_id").join(removed(plain, size, bits), "doc_id", "left").select("doc_id", "text", "spans", *(["row"] if rows else []))
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")) if rows else plain
+    texts = full.repartition("doc_id")
+    both = texts.join(removed(plain, texts, size, bits), "doc_id", "left").select("doc_id", "text", "spans", *(["row"] if rows else []))
     return both.mapInArrow(task, schema + (f", row {full.schema['row'].dataType.simpleString()}" if rows else ""))
