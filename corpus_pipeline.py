@@ -44,9 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the byte strings that a document of a smaller id has; a character that loses some of its bytes goes."""
-    made = suffixes.without_repeats(docs, rows=True).select("row.*", F.make_valid_utf8(F.col("kept").cast("string")).alias("_kept"), F.col("n_removed").alias("_gone"))
-    text = F.when(F.col("_gone") == 0, F.col("text")).otherwise(F.replace("_kept", F.lit("\ufffd"), F.lit("")))
+    """Every document without the byte strings that a document of a smaller id has; a character that loses some of its bytes goes, and a null text becomes empty."""
+    made = suffixes.without_repeats(docs, rows=True).select("row.*", F.col("kept").cast("string").alias("_kept"), F.col("n_removed").alias("_gone"))
+    text = F.when(F.col("_gone") == 0, F.col("_kept")).otherwise(F.replace(F.make_valid_utf8("_kept"), F.lit("\ufffd"), F.lit("")))
     return _with_text(made, docs.columns, text)
 
 
