@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import asof
+    from . import asof, timeseries
 
-    return [asof]
+    return [asof, timeseries]
 
 
 def queries() -> dict:

@@ -33,3 +33,68 @@ def revisions(ledger: DataFrame) -> DataFrame:
     """Every version of an observation with its ordinal and its change from the version before."""
     w = Window.partitionBy("series_id", "event_time").orderBy("knowledge_time", "_seq")
     return ledger.select("series_id", "event_time", "knowledge_time", "_seq", "value", F.row_number().over(w).alias("version"), (F.col("value") - F.lag("value").over(w)).alias("change"))
+
+
+LEDGER = "series_id string, event_time timestamp_ntz, knowledge_time timestamp_ntz, value double, source string, vintage_id string, ingest_run_id string, source_url string, source_hash string, _seq bigint"
+
+
+def empty(spark) -> DataFrame:
+    return spark.createDataFrame([], LEDGER)
+
+
+def observations(series: DataFrame, lag_days, publish_time=None) -> DataFrame:
+    """Ledger rows, without _seq, from (series_id, event_time, value, source); missing values make no row."""
+    from .functions.calendar import knowledge_time
+
+    rows = series.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    return rows.withColumn("knowledge_time", knowledge_time("event_time", lag_days, publish_time))
+
+
+def append(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ledger with new rows, numbered from its last _seq on in order of knowledge, series and event; nothing is ever changed.
+
+    The numbering has one writer: call it from one place at a time.
+    """
+    from pyspark.sql.types import _parse_datatype_string
+
+    top = ledger.agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0]
+    have = {f.name: f.dataType for f in _parse_datatype_string(LEDGER).fields if f.name != "_seq"}
+    full = rows.select(*(F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in have.items()))
+    order = ["knowledge_time", "series_id", "event_time"]
+    ordered = full.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ordered = ordered.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = ordered.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = ordered.join(F.broadcast(sizes), "_part")  # one row a partition
+    return ledger.unionByName(numbered.withColumn("_seq", top + F.col("_before") + F.col("_row")).select(*have, "_seq"))
+
+
+def as_of_series(ledger: DataFrame, cutoff, series_id: str) -> DataFrame:
+    """(event_time, value) of one series as known at ``cutoff``."""
+    return as_of_rows(ledger.where(F.col("series_id") == series_id), cutoff).select("event_time", "value").orderBy("event_time")
+
+
+def validate(rows: DataFrame) -> DataFrame:
+    """``rows`` (value, valid_min, valid_max) with an array of violations; the bounds are inclusive and may be null."""
+    v = F.col("value")
+    found = F.array(
+        F.when(v.isNull() | F.isnan(v), "missing"),
+        F.when(v < F.col("valid_min"), "below minimum"),
+        F.when(v > F.col("valid_max"), "above maximum"),
+    )
+    return rows.withColumn("violations", F.array_compact(found))
+
+
+def ingest(ledger: DataFrame, rows: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger with the valid rows, quarantined rows with their violations); a series without contract is quarantined."""
+    named = rows.join(contracts.select("series_id", "valid_min", "valid_max", F.lit(True).alias("_known")), "series_id", "left")
+    checked = validate(named).withColumn("violations", F.when(F.col("_known").isNull(), F.array(F.lit("no contract"))).otherwise(F.col("violations")))
+    good = checked.where(F.size("violations") == 0).select(*rows.columns)
+    return append(ledger, good), checked.where(F.size("violations") > 0).select(*rows.columns, "violations")
+
+
+def triple_barrier(prices: DataFrame, w, price: str, vol: str, most: int, up: float = 1.0, down: float = 1.0) -> DataFrame:
+    """``prices`` with label: +1 or -1 for the barrier (price times 1 ± k vol) that is touched first in the next ``most`` rows, else 0."""
+    ahead = F.collect_list(price).over(w.rowsBetween(1, most))
+    hit = lambda x: F.when(x >= F.col(price) * (1 + up * F.col(vol)), 1).when(x <= F.col(price) * (1 - down * F.col(vol)), -1)
+    touched = F.filter(F.transform(ahead, hit), lambda x: x.isNotNull())
+    return prices.withColumn("label", F.coalesce(F.get(touched, F.lit(0)), F.lit(0)))
