@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import asof, timeseries
+    from . import asof, evaluation, timeseries
 
-    return [asof, timeseries]
+    return [asof, timeseries, evaluation]
 
 
 def queries() -> dict:
