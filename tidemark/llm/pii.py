@@ -100,8 +100,8 @@ def _word_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     spot = F.pmod("t", F.lit(FILTER_BITS))
     set_bits = wanted.select(F.shiftrightunsigned(spot, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(t, {FILTER_BITS}) & 31 AS INT))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     bitmap = np.zeros(FILTER_BITS >> 5, np.uint32)
-    got = set_bits.toPandas()
-    bitmap[got.w.to_numpy(np.int64)] = got.bits.to_numpy(np.int64).astype(np.uint32)
+    got = set_bits.toArrow()  # at most FILTER_BITS / 32 rows
+    bitmap[got.column("w").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def counts(n: Counter) -> pa.RecordBatch:
