@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import asof, evaluation, timeseries
+    from . import asof, evaluation, timeseries, trading
 
-    return [asof, timeseries, evaluation]
+    return [asof, timeseries, evaluation, trading]
 
 
 def queries() -> dict:
