@@ -41,9 +41,9 @@ from . import common
 #: Bytes of the first bucket, and bits by which bucket ranges are dealt to reducers.
 GRAM, RANGE_BITS = 16, 12
 #: Bytes of text whose rows are gathered before they are sent.
-GATHER = 24 << 20
+GATHER = 8 << 20
 #: Bytes of text that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Bits of a sort key that hold a position; the others hold the leading bits of a bucket identifier.
 POSITION_BITS = np.uint64(31)
 SPANS = "doc_id long, kind byte, a int, b int"
@@ -211,7 +211,7 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
         for batch in common.slices(batches, "text", SLICE):
             data, offsets = common.flat(batch.column(1))
             bucket, refined, text, first, more = runs(data, offsets, size)
-            held.append((bucket, refined >> np.uint64(24), batch.column(0).to_numpy()[text], first, more))
+            held.append((bucket, refined >> np.uint64(24), batch.column(0).to_numpy()[text], first.astype(np.uint32), more.astype(np.uint8)))
             gathered += len(data)
             if gathered > GATHER:
                 yield rows()
@@ -286,9 +286,7 @@ def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE
             n = more.astype(np.int64) + 1
             lengths = n + size - 1
             start = np.cumsum(lengths) - lengths
-            place = common.ragged(start, n)
-            string = refine(payload, size)[1][place]
-            other = refine(payload ^ np.uint8(0x5A), size)[1][place]  # 128 bits tell strings apart
+            string, other = string_ids(payload, start, n, size)
             doc, at = np.repeat(doc, n), common.ragged(first.astype(np.int64), n)
             order = np.lexsort((doc, other, string))
             string, other, doc, at = string[order], other[order], doc[order], at[order]
@@ -311,6 +309,20 @@ def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE
     return first.where(F.col("kind") == GONE).unionByName(second).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+def string_ids(payload: np.ndarray, start: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two identifiers, 128 bits in all, of the ``n`` strings that begin in each run of the payload; runs are hashed a slice at a time."""
+    one, two = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    part = start // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(start)] if len(start) else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        first = start[a]
+        data = payload[first : start[b - 1] + n[b - 1] + size - 1]
+        place = common.ragged(start[a:b] - first, n[a:b])
+        one.append(refine(data, size)[1][place])
+        two.append(refine(data ^ np.uint8(0x5A), size)[1][place])
+    return np.concatenate(one), np.concatenate(two)
+
+
 def cover(length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether each of ``length`` bytes lies in one of the spans."""
     change = np.zeros(length + 1, np.int64)
