@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import asof, evaluation, timeseries, trading
+    from . import asof, evaluation, models, timeseries, trading
 
-    return [asof, timeseries, evaluation, trading]
+    return [asof, timeseries, evaluation, trading, models]
 
 
 def queries() -> dict:
