@@ -14,20 +14,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EULER = 0.5772156649015329
 #: Lags that a Newey-West statistic can use; 4 (n / 100)^(2/9) reaches it at two million rows.
 MOST_LAGS = 36
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """The standard normal distribution function. Spark has no error function."""
     n = NormalDist()
     return x.map(lambda v: None if pd.isna(v) else n.cdf(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     n = NormalDist()
     return p.map(lambda v: n.inv_cdf(v) if pd.notna(v) and 0 < v < 1 else None)
