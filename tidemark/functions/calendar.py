@@ -11,8 +11,8 @@ def month_end(at: Column | str) -> Column:
 
 
 def next_month_end(at: Column | str) -> Column:
-    """The month end after the date; a month end moves on to the next."""
-    return F.last_day(F.date_add(F.last_day(at), 1))
+    """The first month end after the date; a month end moves on to the next."""
+    return F.last_day(F.date_add(at, 1))
 
 
 def previous_month_end(at: Column | str) -> Column:

@@ -140,7 +140,7 @@ def annual_hold(spark, sf_dir):
     return calendar.annual_to_monthly(a, "key", "year_end", "v")
 
 
-@query(f"SELECT o_orderkey, last_day(o_orderdate::DATE) AS month_end, last_day((last_day(o_orderdate::DATE) + 1)::DATE) AS next_end, last_day((date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE) AS previous_end, o_orderdate::TIMESTAMP + INTERVAL 10 DAY AS known FROM orders")
+@query(f"SELECT o_orderkey, last_day(o_orderdate::DATE) AS month_end, last_day((o_orderdate::DATE + 1)::DATE) AS next_end, last_day((date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE) AS previous_end, o_orderdate::TIMESTAMP + INTERVAL 10 DAY AS known FROM orders")
 def month_ends(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", calendar.month_end("o_orderdate").alias("month_end"), calendar.next_month_end("o_orderdate").alias("next_end"), calendar.previous_month_end("o_orderdate").alias("previous_end"), calendar.knowledge_time("o_orderdate", 10).alias("known"))
