@@ -221,8 +221,8 @@ def ewm_volatility(spark, sf_dir):
     return e.select("key", "month", r("ewm_mean", "ewm_mean"), r("ewm_std", "ewm_std"))
 
 
-@query(f"""WITH x AS (SELECT key, month, total, stddev_samp(ret) OVER {LAST12} AS vol FROM ({RETURNS_SQL})), y AS (
- SELECT a.key, a.month, arg_min(CASE WHEN b.total >= a.total * (1 + a.vol) THEN 1 WHEN b.total <= a.total * (1 - a.vol) THEN -1 END, b.month) FILTER (b.total >= a.total * (1 + a.vol) OR b.total <= a.total * (1 - a.vol)) AS hit FROM x a LEFT JOIN x b ON a.key = b.key AND b.month > a.month AND b.month <= last_day((a.month + INTERVAL 6 MONTH)::DATE)
+@query(f"""WITH x AS (SELECT key, month, total, row_number() OVER (PARTITION BY key ORDER BY month) AS bar, stddev_samp(ret) OVER {LAST12} AS vol FROM ({RETURNS_SQL})), y AS (
+ SELECT a.key, a.month, arg_min(CASE WHEN b.total >= a.total * (1 + a.vol) THEN 1 WHEN b.total <= a.total * (1 - a.vol) THEN -1 END, b.month) FILTER (b.total >= a.total * (1 + a.vol) OR b.total <= a.total * (1 - a.vol)) AS hit FROM x a LEFT JOIN x b ON a.key = b.key AND b.bar > a.bar AND b.bar <= a.bar + 6
  WHERE a.vol > 0 GROUP BY 1, 2) SELECT key, month, coalesce(hit, 0)::INT AS label FROM y""")
 def triple_barrier(spark, sf_dir):
     w = timeline()
