@@ -72,6 +72,24 @@ def test_recall_of_the_graph():
     assert all(truth[k, graph.near(x[k], 0.93, beam)].all() for k in range(0, len(x), 50))
 
 
+def test_a_hot_group_does_not_hide_the_links_of_others(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([np.repeat(base[:1], 90, axis=0), base, base + rng.normal(size=base.shape) * 0.08])
+    rows = [(int(k), [float(v) for v in np.float32(x[k])], 0, 0) for k in range(len(x))]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert got == brute(rows)
+
+
+def test_the_audit_holds_each_member_to_its_recall():
+    x = np.repeat(np.eye(64), [2000, *[2] * 63], axis=0)
+    graph = hnsw.Graph.__new__(hnsw.Graph)
+    graph.x = graph.exact = x
+    # a walk that finds the large group whole, and of the small ones the query alone
+    graph.near = lambda q, threshold, beam: np.arange(2000) if q[0] else np.flatnonzero(x @ q >= threshold)[: 1 if beam < 200 else 2]
+    assert graph.audited_beam(0.93) >= 200
+
+
 def test_components_of_chains_hubs_and_rings(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 700)] + [(k, 200 + (k - 199) % 30) for k in range(200, 230)] + [(9, 8), (8, 9), (9, 9)]

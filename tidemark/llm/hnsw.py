@@ -1,13 +1,15 @@
 """Embedding near-duplicates by navigable small-world graphs.
 
-Vectors are compared within their label only. A label is cut into shards of
-about ``shard_rows`` vectors by a hash of the id; a task builds one shard's
-hierarchical graph, and every vector of the label queries every shard of it.
-A query's beam has ``beam`` places and takes in everything at or above the
-threshold besides. Before queries run, an audit compares up to ``AUDITED``
-members with brute force over the shard and doubles the beam until the recall
-is ``AUDIT_RECALL`` or the beam holds the shard, which is brute force. Every
-link is verified in double precision.
+Vectors are compared within their label only. Equal vectors become one
+representative, the one of the least id, which carries their number. A label's
+representatives are cut into shards of about ``shard_rows`` by a hash of the
+id; a task builds one shard's hierarchical graph, and every representative of
+the label queries every shard of it. A query's beam has ``beam`` places and
+takes in everything at or above the threshold besides. Before queries run, an
+audit compares up to ``AUDITED`` members with brute force over the shard and
+doubles the beam until each of them finds ``AUDIT_RECALL`` of its links to
+others or the beam holds the shard, which is brute force. Every link is
+verified in double precision.
 
 A task sends a count for each query and a spanning forest of each batch's
 links, never all pairs; components join the forests.
@@ -150,14 +152,12 @@ class Graph:
         return hits[self.exact[hits] @ q >= threshold] if len(hits) else hits
 
     def audited_beam(self, threshold: float) -> int:
-        """The beam at which the recall of an audit over evenly spaced members passes."""
+        """The beam at which each of an audit's evenly spaced members has its recall, without itself."""
         n, beam = len(self.x), BEAM
         at = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(np.int64))
-        truth = [np.flatnonzero(row >= threshold) for row in self.exact[at] @ self.exact.T]
-        total = sum(map(len, truth))
+        truth = [np.setdiff1d(np.flatnonzero(row >= threshold), k) for k, row in zip(at, self.exact[at] @ self.exact.T)]
         while beam < n:
-            got = sum(len(np.intersect1d(t, self.near(self.exact[k], threshold, beam))) for k, t in zip(at, truth))
-            if got >= AUDIT_RECALL * total:
+            if all(len(np.intersect1d(t, self.near(self.exact[k], threshold, beam))) >= AUDIT_RECALL * len(t) for k, t in zip(at, truth) if len(t)):
                 break
             beam *= 2
         return beam
@@ -175,14 +175,14 @@ def _shard_links(threshold: float):
     def out(a: np.ndarray, n: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(len(a), pa.int64())], names=["vec_id", "n", "other"])
 
-    def answer(graph: Graph, beam: int, members: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def answer(graph: Graph, beam: int, members: np.ndarray, weight: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
         place = {v: k for k, v in enumerate(members.tolist())}
         at = np.array([place.get(v, -1) for v in ids.tolist()])
         at[at < 0] = len(members) + np.flatnonzero(at < 0)
         hits = [graph.near(q, threshold, beam) for q in x]
         hits = [h[members[h] != v] for h, v in zip(hits, ids.tolist())]
         n = np.fromiter(map(len, hits), np.int64, len(hits))
-        yield out(ids, n, None)
+        yield out(ids, np.fromiter((weight[h].sum() for h in hits), np.int64, len(hits)), None)
         if n.sum():
             root = common.local_roots(np.repeat(at, n), np.concatenate(hits), len(members) + len(ids))
             child = np.flatnonzero(root != np.arange(len(root)))
@@ -190,7 +190,7 @@ def _shard_links(threshold: float):
             yield out(names[child], np.zeros(len(child), np.int64), names[root[child]])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, graph, members, beam = None, [], None, None, 0
+        now, held, graph, members, weight, beam = None, [], None, None, None, 0
         for whole in batches:
             shard, role = (whole.column(c).to_numpy() for c in ("shard", "role"))
             cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(role) != 0)) + 1
@@ -202,14 +202,14 @@ def _shard_links(threshold: float):
                 if shard[a] != now:
                     now, held, graph = shard[a], [], None
                 if role[a] == 0:
-                    held.append((ids, x))
+                    held.append((ids, x, part.column("weight").to_numpy()))
                     continue
                 if graph is None:
-                    members = np.concatenate([i for i, _ in held])
-                    graph = Graph(np.concatenate([v for _, v in held]))
+                    members, rows, weight = (np.concatenate(c) for c in zip(*held))
+                    graph = Graph(rows)
                     held, beam = [], graph.audited_beam(threshold)
                 for k in range(0, len(ids), BATCH):
-                    yield from answer(graph, beam, members, ids[k : k + BATCH], x[k : k + BATCH])
+                    yield from answer(graph, beam, members, weight, ids[k : k + BATCH], x[k : k + BATCH])
 
     return task, schema
 
@@ -219,18 +219,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
     one = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.struct(F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding")).alias("r"))
     one = common.scratch(one.groupBy("vec_id").agg(F.min("r").alias("r")).select("vec_id", "r.*"), "vectors")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    sound = one.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0))
-    sound = sound.select("vec_id", "embedding", F.xxhash64("label", F.size("embedding")).alias("class"))
-    shards = sound.groupBy("class").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n_shards"))
-    placed = sound.join(shards, "class")
+    usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
+    sound = one.where(usable).select("vec_id", "embedding", F.xxhash64("label", F.size("embedding")).alias("class"))
+    distinct = common.scratch(sound.groupBy("class", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")), "distinct-vectors")
+    shards = distinct.groupBy("class").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n_shards"))
+    placed = distinct.join(shards, "class")
     mine = F.pmod(F.xxhash64("vec_id"), F.col("n_shards")).cast("int")
-    members = placed.select(F.xxhash64("class", mine).alias("shard"), F.lit(0).alias("role"), "vec_id", "embedding")
-    queries = placed.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1))).select(F.xxhash64("class", "s").alias("shard"), F.lit(1).alias("role"), "vec_id", "embedding")
+    members = placed.select(F.xxhash64("class", mine).alias("shard"), F.lit(0).alias("role"), "vec_id", "weight", "embedding")
+    queries = placed.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1))).select(F.xxhash64("class", "s").alias("shard"), F.lit(1).alias("role"), "vec_id", "weight", "embedding")
     task, schema = _shard_links(threshold)
     rows = members.unionByName(queries).repartition("shard").sortWithinPartitions("shard", "role", "vec_id")
     found = common.scratch(rows.mapInArrow(task, schema), "vector-links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     classes = common.components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    out = one.select("vec_id").join(counts, "vec_id", "left").join(classes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    linked = distinct.join(counts, "vec_id", "left").join(classes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    linked = linked.select("class", "embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    out = sound.join(linked, ["class", "embedding"]).select("vec_id", "n_links", "component_id")
+    out = out.unionByName(one.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
