@@ -10,7 +10,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
@@ -363,6 +365,18 @@ def test_pieces_equal_plain_viterbi(spark, docs, nothing):
     assert pieces.encode(nothing, PIECES).count() == 0
 
 
+def test_pieces_equal_those_of_the_library():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    vocabulary = pieces.Vocabulary(PIECES)
+    assert vocabulary.merges
+    rng = random.Random(9)
+    words = ["information", "world", "something", "house", "language", "aaaaaaa", "abababab", "z", "漢字"]
+    words += ["".join(rng.choice(["the", "or", "ing", "a", "e", "st", "ß", "漢", "🙂", "1", "-"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    texts = [*words, " ".join(words[:60]), "a" * 500 + " " + "language" * 90]
+    got = pieces.Encoder(vocabulary)(pa.array(texts))
+    assert [x.tolist() for x in got] == [model.encode(t) for t in texts]
+
+
 def test_warc_round_trip(spark):
     big = "z" * 200_001
     pages = [(5, "http://a", "same"), (2, "http://b\r\nx", "same"), (9, None, None), (3, "u", ""), (4, "v", big), (7, "w", big), (8, "y", "é" * 40000), (8, "y", "é" * 40000)]

@@ -1,13 +1,14 @@
-"""SentencePiece encoding and decoding by batched Viterbi.
+"""SentencePiece encoding and decoding in batches of words.
 
-The vocabulary file's piece scores are taken as unigram log-probabilities: a
-word gets the segmentation of the greatest total score, ties going to the
-longest last piece, and a character without a piece costs the least score
-minus 10 and falls back to its bytes. Words of equal length advance together:
-all their substrings of one length are hashed and looked up in the sorted keys
-of the pieces of that length, and a running maximum over the lengths keeps the
-backpointers. For a file of merge type this gives the best segmentation under
-its scores, which can differ from the order of its merges.
+A file whose piece scores are whole numbers is of merge type: they are merge
+ranks, and a word is encoded by joining, again and again, the neighbouring
+pair whose joined piece ranks best, the leftmost of equals. Any other file's
+scores are unigram log-probabilities: a word gets the segmentation of the
+greatest total score, by Viterbi, ties going to the longest last piece. A
+character without a piece falls back to its bytes; for the Viterbi it costs
+the least score minus 10. Words of equal length advance together: all their
+substrings of one length are hashed and looked up in the sorted keys of the
+pieces of that length, and the joins or backpointers work on those tables.
 
 Texts are cut before every run of blanks (no piece goes on across one), so
 each distinct word is encoded once in a task and remembered.
@@ -20,6 +21,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,8 @@ WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN_PENALTY = 10.0
 #: Words that advance together, and words that a task remembers.
 TOGETHER, REMEMBERED = 16384, 400_000
+#: Characters beyond which a word is merged by itself, with a heap.
+LONG = 48
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +65,9 @@ class Vocabulary:
                     raise ValueError(f"piece {i} goes on across a blank")
                 normal.append((piece, model.get_score(i), i))
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
+        #: Whether the scores are merge ranks.
+        self.merges = all(s == int(s) for _, s, _ in normal)
+        self.by_piece = {p: (s, i) for p, s, i in normal} if self.merges else {}
         self.unknown = min(s for _, s, _ in normal) - UNKNOWN_PENALTY
         self.longest = max(len(p) for p, _, _ in normal)
         self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, BASE)]), dtype=np.uint64)
@@ -87,8 +94,8 @@ class Vocabulary:
     def _mixed(key: np.ndarray) -> np.ndarray:
         return common.mix(key)
 
-    def _viterbi(self, words: list[str]) -> np.ndarray:
-        """Ids of words of one length: at a piece's first character its id, else -1; -2 for a character without a piece."""
+    def _tables(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score (-inf if none) and id (-1) of the piece of each length at each character of words of one length."""
         n, m = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
         prefix = self._prefixes(codes.astype(np.uint64))
@@ -104,6 +111,65 @@ class Vocabulary:
             hit = keys[at] == key
             score[k, :, : n - k + 1] = np.where(hit, scores[at], -np.inf)
             piece[k, :, : n - k + 1] = np.where(hit, ids[at], -1)
+        return score, piece
+
+    def _merge(self, words: list[str]) -> np.ndarray:
+        """As ``_viterbi``, by the order of the merges."""
+        score, piece = self._tables(words)
+        most, (m, n) = len(score) - 1, score.shape[1:]
+        # a word's symbols stand at the left of its row: where each begins, then n
+        start = np.tile(np.append(np.arange(n + 1), n), (m, 1))
+        live = np.arange(m)
+        while len(live) and n > 1:
+            now = start[live]
+            size = now[:, 2:] - now[:, :-2]
+            joined = score[np.minimum(size, most), live[:, None], np.minimum(now[:, :-2], n - 1)]
+            joined[(size > most) | (now[:, 1:-1] >= n)] = -np.inf
+            at = joined.argmax(axis=1)
+            more = joined[np.arange(len(live)), at] > -np.inf
+            live, now, at = live[more], now[more], at[more]
+            place = np.arange(n + 1)[None, :]
+            start[live, :-1] = np.take_along_axis(now, place + (place > at[:, None]), axis=1)
+        out = np.full((m, n), -1, np.int32)
+        row, col = np.nonzero(start[:, :-1] < n)
+        first, size = start[row, col], start[row, col + 1] - start[row, col]
+        got = piece[size, row, first]
+        out[row, first] = np.where(got < 0, -2, got)
+        return out
+
+    def _merge_long(self, word: str) -> np.ndarray:
+        """As ``_merge``, for one word of any length."""
+        n, known = len(word), self.by_piece
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n and (found := known.get(word[a : end[b]])):
+                heapq.heappush(heap, (-found[0], a, b, end[b]))
+
+        for k in range(n):
+            offer(k)
+        while heap:
+            _, a, b, stop = heapq.heappop(heap)
+            if end[a] != b or end[b] != stop:  # one of the two has been joined meanwhile
+                continue
+            end[a], end[b], after[a] = stop, -1, after[b]
+            if after[a] < n:
+                before[after[a]] = a
+            if before[a] >= 0:
+                offer(before[a])
+            offer(a)
+        out, k = np.full(n, -1, np.int32), 0
+        while k < n:
+            out[k] = known.get(word[k : end[k]], (0, -2))[1]
+            k = end[k]
+        return out
+
+    def _viterbi(self, words: list[str]) -> np.ndarray:
+        """Ids of words of one length: at a piece's first character its id, else -1; -2 for a character without a piece."""
+        score, piece = self._tables(words)
+        most, (m, n) = len(score) - 1, score.shape[1:]
         lone = piece[1] < 0
         score[1][lone], piece[1][lone] = self.unknown, -2
         best = np.full((m, n + 1), -np.inf)
@@ -124,8 +190,8 @@ class Vocabulary:
             rows, end = rows[end > 0], end[end > 0]
         return out
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words end to end, and how many each has. ``words`` are not empty."""
+    def encode_words(self, words: list[str], merges: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and how many each has, by Viterbi or by merges. ``words`` are not empty."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         for n in np.unique(length).tolist():
@@ -133,7 +199,10 @@ class Vocabulary:
             step = max(1, min(TOGETHER, (4 << 20) // (n * min(n, self.longest))))
             for a in range(0, len(own), step):
                 some = own[a : a + step].tolist()
-                ids = self._viterbi([words[k] for k in some])
+                if merges:
+                    ids = self._merge([words[k] for k in some]) if n <= LONG else [self._merge_long(words[k]) for k in some]
+                else:
+                    ids = self._viterbi([words[k] for k in some])
                 for k, row in zip(some, ids):
                     row_ids = row[row != -1]
                     if (row_ids == -2).any():
@@ -164,7 +233,7 @@ class Encoder:
             self._forget()
         new = [w for w in words if w not in self.known]
         if new:
-            ids, count = self.vocabulary.encode_words(new)
+            ids, count = self.vocabulary.encode_words(new, self.vocabulary.merges)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(count) - count])
             self.counts, self.ids = np.concatenate([self.counts, count]), np.concatenate([self.ids, ids])
