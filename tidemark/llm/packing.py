@@ -4,18 +4,21 @@ Every document is tokenised and closed with an end token. Whole windows of a
 long document leave at once; the rest is placed best-fit among the ``open_windows``
 open windows of its partition. When none has room, the fullest open window is
 topped up with the first ids of the piece and emitted, and the rest of the
-piece is placed. What is left open when a partition ends is merged: the pieces
-of all leftovers go through the same placing again in fewer and fewer tasks.
+piece is placed. What is left open when a partition ends is merged in rounds:
+the leftovers of ``FAN_IN`` tasks go through the same placing in one task, so a
+task of a round reads at most ``FAN_IN`` x ``open_windows`` windows, until one is left.
 The windows of the last task are cut at powers of two, which need no padding.
 
-Defined cases: a null or empty text is one end token; a repeated doc_id is
-packed as often as it comes; an empty table gives no pieces; other columns of
-the input are ignored. The order of documents in a partition is the order in
+Defined cases: a null or empty text is one end token; a row without an id and a
+repeated id are packed as often as they come; a text of any length is cut into
+whole windows; of windows with equal room the one opened first is filled; an
+empty table gives no pieces; other columns of the input are ignored. The order of documents in a partition is the order in
 which Spark reads them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +39,8 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTED)}
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
+#: Tasks whose leftovers one task merges.
+FAN_IN = 32
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, window long, offset long"
 
 
@@ -53,6 +58,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        # words are only cut where the pre-tokenizer is known to cut; with any other, texts are encoded whole
+        before = rules.get("pre_tokenizer") or {}
+        self.cuts = rules.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -104,6 +114,8 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.cuts:
+            return [np.array(ids, np.uint32) for ids in self._plain(texts.to_pylist())]
         odd = pc.match_substring_regex(texts, r"[\s\pZ\x{85}\x{1c}-\x{1f}] | [\s\pZ\x{85}\x{1c}-\x{1f}]|\x{1e}").to_numpy(zero_copy_only=False).astype(bool)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         if odd.any():
@@ -224,7 +236,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
                     closed.append((base + number, pieces))
                     number += 1
             yield _rows(closed)
-        yield _rows([(-1, pieces) for pieces in windows.pieces])
+        left = -1 - TaskContext.get().partitionId()  # leftovers carry their task as a negative number
+        yield _rows([(left, pieces) for pieces in windows.pieces])
 
     def again(step: int, last: bool):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +253,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
                         number += 1
                 yield _rows(closed)
             if not last:
-                yield _rows([(-1, pieces) for pieces in windows.pieces])
+                left = -1 - TaskContext.get().partitionId()
+                yield _rows([(left, pieces) for pieces in windows.pieces])
                 return
             closed = []
             for pieces in windows.pieces:
@@ -252,16 +266,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = common.scratch(source.mapInArrow(first, SCHEMA), "packed")
-    done, left = [made.where("window >= 0")], made.where("window < 0")
-    tasks, step = made.rdd.getNumPartitions(), 0
-    while True:  # each round merges the leftovers of 64 tasks into one, so a round's task reads 64 x open_windows windows at most
-        step += 1
-        tasks = -(-tasks // 64)
-        ordered = (left.repartition(1) if tasks == 1 else left.repartition(tasks, "doc_id")).sortWithinPartitions("doc_id", "start", "length")
-        merged = common.scratch(ordered.mapInArrow(again(step, tasks == 1), SCHEMA), "merged")
+    done, left, step = [made.where("window >= 0")], made.where("window < 0"), 0
+    while True:
+        # the tasks that left something open, by the numbers they wrote
+        tasks = -(left.agg(F.min("window")).first()[0] or -1)
+        step, groups = step + 1, -(-tasks // FAN_IN)
+        group = F.floor((-1 - F.col("window")) / FAN_IN).cast("int")
+        dealt = left.repartitionById(groups, group) if groups > 1 else left.repartition(1)
+        merged = common.scratch(dealt.sortWithinPartitions("doc_id", "start", "length", "ids").mapInArrow(again(step, groups == 1), SCHEMA), "merged")
         done.append(merged.where("window >= 0"))
         left = merged.where("window < 0")
-        if tasks == 1:
+        if groups == 1:
             break
     whole = done[0]
     for part in done[1:]:
