@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,19 +17,45 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Folders that this process made in the shared folder and has not cleared yet.
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session (tests) gets a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clear`` deletes."""
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clear)
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession | None = None) -> None:
+    """Delete all scratch tables; results that read them can no longer be used. Runs by itself when the process ends with its session open."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+    _made.clear()
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -103,28 +130,43 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+#: Nodes of a round that may count as hubs, at most.
+HUBS = 20_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected link table, as rows (node, component) for every linked node.
 
     The component is its smallest node. Large-star and small-star rounds alternate
     until no link changes; each round is written to the shared folder, so a lost
-    executor costs at most one round. A hub is only ever a join key, and both
-    sides of that join can be split when skewed.
+    executor costs at most one round. Nodes with over 1/``HUBS`` of all link ends
+    are hubs: there are fewer than ``HUBS`` of them, so their least neighbours are
+    broadcast and the links of a hub need not meet in one task.
     """
+
+    def checked(links: DataFrame):
+        return links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     links = scratch(links, "links")
+    before = checked(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("ends"))
+        often = 2 * before.n / HUBS
+        hubs = low.where(F.col("ends") > often).select("u", F.col("m").alias("hub_m"))
+        marked = both.join(F.broadcast(hubs), "u", "left")
+        plain = marked.where("hub_m is null").drop("hub_m").join(low.where(F.col("ends") <= often).drop("ends"), "u")
+        large = plain.unionByName(marked.where("hub_m is not null").withColumnRenamed("hub_m", "m"))
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch(small, "links")
-        same = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if same == new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first():
+        links = scratch(small, "links")
+        now = checked(links)
+        if now == before:
             break
-        links = new
-    return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        before = now
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

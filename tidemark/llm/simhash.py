@@ -11,8 +11,10 @@ fingerprints are compared per anchor, an own member against all. Each anchor
 sends on a spanning forest of its links, never all pairs.
 
 Defined cases: a null or blank text has fingerprint zero and links like any
-other; repeated rows are returned as often as they come, with one component;
-an empty table gives an empty result; other columns of the input are ignored.
+other; a text is read whole, however long; repeated rows are returned as often
+as they come, with one component; a row without an id links like any other, and
+a component of such rows alone has no id (null); an empty table gives an empty
+result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODED = 15
 #: Members of an anchor beyond which its comparisons are split over several tasks.
 HOT = 8192
+#: Linking pairs that are gathered before they are folded into the roots of an anchor's members.
+FOLD = 1 << 18
 #: Hashes whose bits are unpacked at once.
 UNPACK = 1 << 16
 
@@ -102,20 +106,34 @@ def replicas(prints: DataFrame) -> DataFrame:
 
 
 def _links_of(key: np.ndarray, own: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each run of equal keys, as pairs of fingerprints."""
-    left, right = [], []
-    at, step = np.arange(len(key)), 1
-    while len(at := at[at < len(key) - step]) and len(at := at[key[at] == key[at + step]]):
-        near = (own[at] | own[at + step]) & (np.bitwise_count(fp[at] ^ fp[at + step]) <= distance)
+    """A spanning forest of the links within each run of equal keys, as pairs of fingerprints.
+
+    Hits are folded into the roots of the members every ``FOLD`` pairs, pairs
+    that are joined already are passed over, and a run whose members have one
+    root is done: memory is that of the members. A tree is given as a chain, so
+    that no fingerprint becomes a hub here.
+    """
+    n = len(key)
+    root, run = np.arange(n), np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    at, step, left, right, held = np.arange(n), 1, [], [], 0
+    while len(at := at[at < n - step]) and len(at := at[key[at] == key[at + step]]):
+        near = (root[at] != root[at + step]) & (own[at] | own[at + step]) & (np.bitwise_count(fp[at] ^ fp[at + step]) <= distance)
         hit = at[near]
-        left.append(hit)
-        right.append(hit + step)
+        left.append(root[hit])
+        right.append(root[hit + step])
+        held += len(hit)
         step += 1
-    if not left:
-        return fp[:0], fp[:0]
-    root = common.local_roots(np.concatenate(left), np.concatenate(right), len(key))
-    child = np.flatnonzero(root != np.arange(len(key)))
-    return fp[child], fp[root[child]]
+        if held > FOLD:
+            root = common.local_roots(np.concatenate(left), np.concatenate(right), n)[root]
+            left, right, held = [], [], 0
+            whole = np.minimum.reduceat(root, first) == np.maximum.reduceat(root, first)
+            at = at[~whole[run[at]]]
+    if held:
+        root = common.local_roots(np.concatenate(left), np.concatenate(right), n)[root]
+    order = np.lexsort((fp, root))
+    joined = root[order[1:]] == root[order[:-1]]
+    return fp[order[:-1][joined]], fp[order[1:][joined]]
 
 
 def links(prints: DataFrame, distance: int = 4) -> DataFrame:
