@@ -94,6 +94,16 @@ def test_simhash_components(spark, docs, nothing):
     fp = [(r["doc_id"], r["fp"]) for r in got]
     assert simhash_brute(fp) == sorted((r["doc_id"], r["component_id"]) for r in got)
     assert simhash.near_duplicates(nothing).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (None, "q r s t u v w " * 9), (8, "x" * 200_000)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in rows(simhash.near_duplicates(odd))} == {(None, 7), (7, 7), (None, None), (8, 8)}
+
+
+def test_a_forest_of_a_large_group_needs_no_list_of_its_links(monkeypatch):
+    fp = np.unique(np.array([0x1234 ^ sum(1 << k for k in random.Random(s).sample(range(64), 2)) for s in range(3000)], np.uint64))
+    monkeypatch.setattr(simhash, "FOLD", 1000)
+    a, b = simhash._links_of(np.zeros(len(fp), np.int64), np.ones(len(fp), bool), fp, 4)
+    assert len(a) == len(fp) - 1 and len(set(a.tolist()) | set(b.tolist())) == len(fp)
+    assert max(np.unique(np.concatenate([a, b]), return_counts=True)[1]) == 2
 
 
 def test_simhash_links_planted_bits_and_splits_hot_anchors(spark, monkeypatch):
@@ -118,6 +128,8 @@ def test_simhash_links_planted_bits_and_splits_hot_anchors(spark, monkeypatch):
         return comp
 
     assert joined(plain) == wanted
+    monkeypatch.setattr(simhash, "FOLD", 3)
+    assert joined({frozenset((r.a, r.b)) for r in simhash.links(frame).collect()}) == wanted
     monkeypatch.setattr(simhash, "HOT", 8)
     assert joined({frozenset((r.a, r.b)) for r in simhash.links(frame).collect()}) == wanted
 
@@ -176,6 +188,60 @@ def test_packing_keeps_every_id_once(docs, nothing):
     assert packing.pack(nothing, BPE).count() == 0
 
 
+def test_leftovers_are_merged_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_IN", 3)
+    most = []
+    plain = packing.common.scratch
+
+    def noted(df, name):
+        out = plain(df, name)
+        if name == "merged":
+            most.append(out.select("doc_id").rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(packing.common, "scratch", noted)
+    frame = spark.createDataFrame([(None if k % 5 == 0 else k % 40, "word " * (k % 37)) for k in range(90)], "doc_id long, text string").repartition(11)
+    got = rows(packing.pack(frame, BPE, window=64, open_windows=2))
+    assert len(most) == 3  # 11 tasks, then 4, then 2, then the last
+    total = sum(len(packing.encoder(BPE)(pa.array(["word " * (k % 37)]))[0]) + 1 for k in range(90))
+    assert sum(r["length"] for r in got) == total and {r["doc_id"] for r in got} == {None, *(k % 40 for k in range(90) if k % 5)}
+    by_sequence: dict = {}
+    for r in got:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces_ in by_sequence.values():
+        pieces_.sort()
+        assert [o for o, _ in pieces_] == [sum(n for _, n in pieces_[:k]) for k in range(len(pieces_))] and sum(n for _, n in pieces_) <= 64
+
+
+def test_pieces_go_where_they_fit_best():
+    rng = random.Random(12)
+    windows, plain, closed, wanted = packing.Windows(100, 4), [], [], []
+    for doc in range(400):
+        n = rng.randint(1, 120)
+        closed += [[(p[0], len(p[2])) for p in w] for w in windows.put(doc, 0, np.zeros(n, np.uint32), n)]
+        while n:  # the same by plain lists
+            if n >= 100:
+                wanted.append([(doc, 100)])
+                n -= 100
+                continue
+            room = [100 - sum(x for _, x in w) for w in plain]
+            fits = [k for k in range(len(plain)) if room[k] >= n]
+            if fits:
+                k = min(fits, key=lambda k: room[k])
+                plain[k].append((doc, n))
+                if room[k] == n:
+                    wanted.append(plain.pop(k))
+                break
+            if len(plain) < 4:
+                plain.append([(doc, n)])
+                break
+            k = min(range(len(plain)), key=lambda k: room[k])
+            plain[k].append((doc, room[k]))
+            n -= room[k]
+            wanted.append(plain.pop(k))
+    assert closed == wanted
+
+
 def test_word_encoder_equals_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer

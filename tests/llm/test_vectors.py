@@ -90,7 +90,9 @@ def test_the_audit_holds_each_member_to_its_recall():
     assert graph.audited_beam(0.93) >= 200
 
 
-def test_components_of_chains_hubs_and_rings(spark):
+@pytest.mark.parametrize("hubs", [20_000, 8])
+def test_components_of_chains_hubs_and_rings(spark, monkeypatch, hubs):
+    monkeypatch.setattr(common, "HUBS", hubs)
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 700)] + [(k, 200 + (k - 199) % 30) for k in range(200, 230)] + [(9, 8), (8, 9), (9, 9)]
     rng.shuffle(links)
