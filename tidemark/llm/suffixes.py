@@ -18,12 +18,24 @@ several variants are opened, one for each variant.
 
 Rows travel as arrays, one row for each bucket range and task slice, so a
 shuffle moves few large rows and a reducer holds one bucket range at a time.
-Within a slice, equal runs are reduced to the one of the smallest document
-before the shuffle, so a passage of any frequency brings one row for each slice.
+Buckets are mixed before they are dealt and the number of ranges grows with the
+text, so ranges are even. Within a slice, equal runs are reduced to the one of
+the smallest document before the shuffle, so a passage of any frequency brings
+one row for each slice. A range with more rows than ``RANGE_ROWS`` (a frequent
+16-byte string in ever new contexts) is not held: its rows are reduced piece by
+piece and dealt again by (bucket, refined bucket), or by the 50-byte string, in
+a Spark aggregation to the smallest document.
+
+Strings are told apart by identifiers: 88 bits for whole runs, 128 for single
+strings. With n runs about n^2 / 2^89 pairs of different runs are confused: 5e-9
+over 30 GB, 0.05 over 100 TB.
 
 Defined cases: a null text is empty; repeated rows with one doc_id count as
-one document for matches and are returned as often as they come; strings never
-cross rows; an empty table gives an empty result; other columns are ignored.
+one document for matches (they are expected to have one text) and are returned
+as often as they come; a row without an id comes after all rows with one, and
+such rows are ordered by a hash of their text, equal texts being one document;
+strings never cross rows; a text may be longer than any slice; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,20 +45,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bytes of the first bucket, and bits by which bucket ranges are dealt to reducers.
 GRAM, RANGE_BITS = 16, 12
+#: Rows of a range that a task holds: of runs, and of opened runs, each of which is up to 35 strings.
+RANGE_ROWS, OPENED_ROWS = 1 << 21, 1 << 17
+#: Bytes of text for one range, beyond those of 2^RANGE_BITS ranges.
+RANGE_BYTES = 8 << 20
+#: The first of the numbers by which rows without an id are ordered.
+WITHOUT_ID = (1 << 63) - (1 << 40)
 #: Bytes of text whose rows are gathered before they are sent.
 GATHER = 8 << 20
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 19
 #: Bits of a sort key that hold a position; the others hold the leading bits of a bucket identifier.
 POSITION_BITS = np.uint64(31)
-SPANS = "doc_id long, kind byte, a int, b int"
+SPANS = "doc_id long, kind byte, a int, b int, x long, y long"
 
 
 def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -152,32 +170,51 @@ class Sender:
             [pa.array(part[cuts[:-1]], pa.int32()), pa.array(np.diff(cuts), pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "n", "size", "blob"]
         )
 
-    def received(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        """The columns of each range in turn and the payload of all its rows end to end, from rows sorted by range."""
-        codec, now, held = pa.Codec("zstd"), None, []
+    def received(self, batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+        """Of each range in turn the columns and the payload of all its rows end to end, from rows sorted by range; a range of over ``most`` rows comes in pieces, which are marked False."""
+        codec, now, held, rows, whole = pa.Codec("zstd"), None, [], 0, True
         for batch in batches:
             for part, n, size, blob in zip(*(batch.column(c) for c in ("part", "n", "size", "blob"))):
                 part, n = part.as_py(), n.as_py()
-                if part != now and held:
-                    yield [np.concatenate(x) for x in zip(*held)]
-                    held = []
+                if part != now:
+                    if held:
+                        yield whole, [np.concatenate(x) for x in zip(*held)]
+                    held, rows, whole = [], 0, True
                 now, at, columns = part, 0, []
                 raw = np.frombuffer(codec.decompress(blob.as_buffer(), size.as_py()), np.uint8)
                 for kind, width in self.kinds:
                     columns.append(unplanes(raw[at : at + n * width], n, kind, width))
                     at += n * width
                 held.append([*columns, raw[at:]])
+                rows += n
+                if rows > most:
+                    whole = False
+                    yield False, [np.concatenate(x) for x in zip(*held)]
+                    held, rows = [], 0
         if held:
-            yield [np.concatenate(x) for x in zip(*held)]
+            yield whole, [np.concatenate(x) for x in zip(*held)]
 
 
 def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition("part").sortWithinPartitions("part")
 
 
-def _spans(doc: np.ndarray, kind: np.ndarray | int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _spans(doc: np.ndarray, kind: np.ndarray | int, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
     kind = np.full(len(doc), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kind), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "kind", "a", "b"])
+    keys = [pa.nulls(len(doc), pa.int64()) if k is None else pa.array(k.view(np.int64)) for k in (x, y)]
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kind), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *keys], names=["doc_id", "kind", "a", "b", "x", "y"])
+
+
+def _settled(found: DataFrame, gone: Column, kept: Column | None) -> DataFrame:
+    """``found`` with the rows that were dealt again by (x, y) decided: those of a larger document than the least go up to ``gone``, the others are to be opened up to ``kept`` or stay."""
+    again = found.where(F.col("kind") == AGAIN)
+    if not again.limit(1).count():
+        return found.select("doc_id", "kind", "a", "b")
+    least = again.groupBy("x", "y").agg(F.min("doc_id").alias("least"))
+    later = F.col("doc_id") > F.col("least")
+    again = again.join(least, ["x", "y"])
+    again = again.select("doc_id", F.when(later, GONE).otherwise(OPEN).cast("byte").alias("kind"), "a", F.when(later, gone).otherwise(F.col("b") if kept is None else kept).alias("b"))
+    return found.where(F.col("kind") != AGAIN).select("doc_id", "kind", "a", "b").unionByName(again)
 
 
 #: Bits kept of a bucket identifier in an exchange; with the 40 of the refined one, 88 tell runs apart.
@@ -186,8 +223,8 @@ KEY_BITS = 48
 RUN = ((np.uint64, 6), (np.uint64, 5), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1))
 #: Columns of an opened run, whose bytes are the payload: bucket, document, first string, strings less one.
 OPENED = ((np.uint64, 6), (np.int64, 8), (np.uint32, 4), (np.uint8, 1))
-#: Kinds of rows in the table of decisions: bytes a to b go; strings a to b are to be opened.
-GONE, OPEN = 0, 1
+#: Kinds of rows in the table of decisions: bytes a to b go; strings a to b are to be opened; a run of b more strings than one, or a string, is to be judged with those of its x and y.
+GONE, OPEN, AGAIN = 0, 1, 2
 
 
 def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFrame:
@@ -211,7 +248,7 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
         for batch in common.slices(batches, "text", SLICE):
             data, offsets = common.flat(batch.column(1))
             bucket, refined, text, first, more = runs(data, offsets, size)
-            held.append((bucket, refined >> np.uint64(24), batch.column(0).to_numpy()[text], first.astype(np.uint32), more.astype(np.uint8)))
+            held.append((common.mix(bucket), refined >> np.uint64(24), batch.column(0).to_numpy()[text], first.astype(np.uint32), more.astype(np.uint8)))
             gathered += len(data)
             if gathered > GATHER:
                 yield rows()
@@ -219,7 +256,7 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
         yield rows()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, refined, doc, first, more, known, _ in Sender(RUN, bits).received(batches):
+        for range_whole, (bucket, refined, doc, first, more, known, _) in Sender(RUN, bits).received(batches, RANGE_ROWS):
             first, more, known = first.astype(np.int64), more.astype(np.int64), known.astype(bool)
             if known.any():
                 yield _spans(doc[known], GONE, first[known], first[known] + more[known] + size)
@@ -237,13 +274,20 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
             shared = (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))[group]
             several = (np.add.reduceat(lead.astype(np.int64), at) > 1)[group]
             least = doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+            if not range_whole:
+                later = doc > least
+                yield _spans(doc[later], GONE, first[later], (first + more + size)[later])
+                yield _spans(doc[~later], AGAIN, first[~later], more[~later], bucket[~later], refined[~later])
+                continue
             gone = shared & (doc > least)
             opened = shared & several & (doc == least)
             keep = gone | opened
             yield _spans(doc[keep], np.where(gone, GONE, OPEN)[keep], first[keep], np.where(gone, first + more + size, first + more)[keep])
 
     source = docs.select("doc_id", "text")
-    return common.scratch(_dealt(source.mapInArrow(sent, Sender.schema)).mapInArrow(judged, SPANS), "runs")
+    found = common.scratch(_dealt(source.mapInArrow(sent, Sender.schema)).mapInArrow(judged, SPANS), "runs")
+    end = F.col("a") + F.col("b")
+    return _settled(found, end + size, end)
 
 
 def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFrame:
@@ -282,7 +326,7 @@ def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE
         yield rows()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, doc, first, more, payload in Sender(OPENED, bits).received(batches):
+        for range_whole, (_, doc, first, more, payload) in Sender(OPENED, bits).received(batches, OPENED_ROWS):
             n = more.astype(np.int64) + 1
             lengths = n + size - 1
             start = np.cumsum(lengths) - lengths
@@ -293,6 +337,8 @@ def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE
             new = np.ones(len(doc), bool)
             new[1:] = (string[1:] != string[:-1]) | (other[1:] != other[:-1])
             gone = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            if not range_whole:
+                yield _spans(doc[~gone], AGAIN, at[~gone], at[~gone] + size, string[~gone], other[~gone])
             doc, at = doc[gone], at[gone]
             order = np.lexsort((at, doc))
             doc, at = doc[order], at[order]
@@ -305,8 +351,8 @@ def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE
 
     # both joins with the texts are left joins on one exchange of them, which Spark makes once
     strings = texts.join(wanted, "doc_id", "left").select("spans", *texts.columns).mapInArrow(opened, Sender.schema)
-    second = _dealt(strings).mapInArrow(judged, SPANS)
-    return first.where(F.col("kind") == GONE).unionByName(second).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    second = _settled(common.scratch(_dealt(strings).mapInArrow(judged, SPANS), "strings"), F.col("a") + size, None)
+    return first.unionByName(second).where(F.col("kind") == GONE).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def string_ids(payload: np.ndarray, start: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,11 +377,26 @@ def cover(length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:length] > 0
 
 
-def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
+def range_bits(docs: DataFrame) -> int:
+    """The logarithm of the number of bucket ranges for the text of ``docs``."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(RANGE_BITS, min(24, (total // RANGE_BYTES).bit_length()))
+
+
+def whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """``covered`` with all bytes of each UTF-8 character of which it has any."""
+    number = np.cumsum((data & 0xC0) != 0x80) - 1
+    hit = np.zeros(int(number[-1]) + 1 if len(number) else 0, bool)
+    hit[number[covered]] = True
+    return hit[number]
+
+
+def without_repeats(docs: DataFrame, size: int = 50, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text", rows: bool = False, characters: bool = False) -> DataFrame:
     """Every row with doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
     Rows with one id are expected to have one text. With ``rows`` the other
-    columns of the input come along as the struct ``row``.
+    columns of the input come along as the struct ``row``; with ``characters``
+    a character of which some bytes go goes whole.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -350,6 +411,8 @@ def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS, id_
                 if span.is_valid and len(data):
                     a, b = (span.values.field(c).to_numpy() for c in ("a", "b"))
                     covered = cover(len(data), a, b)
+                    if characters:
+                        covered = whole_characters(data, covered)
                     gone = int(covered.sum()), int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
                     kept = data[~covered].tobytes()
                 else:
@@ -357,11 +420,14 @@ def without_repeats(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS, id_
                 out.append((len(data), *gone, hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+            columns = [batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))]
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if rows else [])], names=[*names, *(["row"] if rows else [])])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")) if rows else plain
-    texts = full.repartition("doc_id")
-    both = texts.join(removed(plain, texts, size, bits), "doc_id", "left").select("doc_id", "text", "spans", *(["row"] if rows else []))
+    own = F.col(id_col).cast("long")
+    rank = F.coalesce(own, F.lit(WITHOUT_ID) + F.xxhash64(text_col).bitwiseAND(F.lit((1 << 40) - 1)))
+    others = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if rows else []
+    full = docs.select(rank.alias("doc_id"), F.col(text_col).alias("text"), own.alias("id"), *others)
+    plain, texts = full.select("doc_id", "text"), full.repartition("doc_id")
+    bits = range_bits(plain) if bits is None else bits
+    both = texts.join(removed(plain, texts, size, bits), "doc_id", "left").select("doc_id", "id", "text", "spans", *(["row"] if rows else []))
     return both.mapInArrow(task, schema + (f", row {full.schema['row'].dataType.simpleString()}" if rows else ""))
