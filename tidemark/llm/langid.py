@@ -1,41 +1,54 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model for each language predicts every letter of a word (and its end) from
-the four before. Counts of 5-grams cover all training rows; the lower orders
-use continuation counts, so all tables come from one grouped count by Spark
-aggregations. Probabilities and back-off weights are kept in arrays sorted by
-a 22-bit hash of the n-gram, one column for each language, which bounds their
-size at 2^22 entries an order whatever the corpus; they are broadcast.
+the four before. All counts come from the distinct words of each language with
+their frequencies, which Spark aggregates over all training rows; the lower
+orders use continuation counts. An n-gram is keyed by its full code points, and
+every table (n-grams, contexts, probabilities, words) is a Spark table: nothing
+is capped or merged, and none of it passes through the driver as a whole.
+
+The words of the corpus are priced once: the distinct 5-grams they need get
+their interpolated probability under each language by joins from the lowest
+order up, and a word's cost is the sum over its 5-grams. The costs of the most
+frequent words (as many as fit ``HELD`` numbers) are broadcast as arrays sorted
+by a 64-bit hash, which tasks search for each distinct word of a slice; the
+words beyond them are summed by a join on the same hash.
 
 A text gets the language of the lowest cross-entropy for each symbol. It is
-rejected if that cross-entropy exceeds the language's mean over calibration
-rows by more than ``sigmas`` standard errors at its length and by ``slack`` nats.
+rejected if that exceeds what calibration rows of this language show: their
+median and their upper spread (the 99th percentile above the median) at the
+text's length, times ``factor``. Calibration rows are not training rows.
 
 Defined cases: a text that is null or has no letter is ``und`` and rejected;
 ties go to the language that sorts first; without training rows every text is
-``und``; repeated rows count as often as they come; an empty table gives an
-empty result; other columns are ignored.
+``und``; a language without calibration rows rejects nothing; a text or word of
+any length counts whole; repeated rows count as often as they come; rows without
+an id are held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, CHAR_BITS, SLOT_BITS = 5, 12, 22
-#: The boundary's code; characters have 2 and more.
-EDGE, SYMBOLS = 1, 1 << CHAR_BITS
+ORDER, CHAR_BITS = 5, 21
+#: The boundary's code; characters have two more than their code point. 0 stands before an n-gram of a lower order.
+EDGE, SYMBOLS = 1, 0x110000 + 2
+MASK = (1 << CHAR_BITS) - 1
 UNDETERMINED = "und"
-#: n-grams that a task holds before it sends their counts.
-GATHER = 3_000_000
+#: Words or n-grams that a task gathers before it sends their counts.
+GATHER = 300_000
+#: Numbers (a hash, a count of symbols and a cost for each language) in the broadcast arrays of frequent words.
+HELD = 4 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -46,212 +59,277 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist(), split.offsets.to_numpy()
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed ``ORDER``-grams of the words end to end, and how many each has: one for each letter and one for the end; none for an empty word."""
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed ``ORDER``-grams of the words end to end (the first two codes and the last three), and how many each word has: one for each letter and one for the end; none for an empty word."""
     n = np.fromiter(map(len, words), np.int64, len(words))
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64) % (SYMBOLS - 2) + 2
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 2
     count = np.where(n > 0, n + 1, 0)
-    width = count + ORDER - 1
-    width[n == 0] = 0
+    width = np.where(n > 0, count + ORDER - 1, 0)
     start = np.cumsum(width) - width
     flat = np.full(int(width.sum()), EDGE, np.int64)
     flat[common.ragged(start + ORDER - 1, n)] = codes
-    key = flat[: len(flat) - ORDER + 1].copy() if len(flat) else flat
-    for k in range(1, ORDER):
-        key = key << CHAR_BITS | flat[k : len(flat) - ORDER + 1 + k]
-    return key[common.ragged(start, count)], count
+    at = common.ragged(start, count)
+    high = flat[at] << CHAR_BITS | flat[at + 1]
+    low = (flat[at + 2] << CHAR_BITS | flat[at + 3]) << CHAR_BITS | flat[at + 4]
+    return high, low, count
 
 
-def slots(key: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a bigint, less its upper bits: the place of an n-gram in the sorted arrays."""
-    u = np.uint64
-    turn = lambda x, k: (x << u(k)) | (x >> u(64 - k))
-    p1, p2, p3, p4, p5 = (u(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = (np.full(len(key), 42 + 8, u) + p5) ^ (turn(key.view(u) * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> u(33))) * p2
-    h = (h ^ (h >> u(29))) * p3
-    return ((h ^ (h >> u(32))) & u((1 << SLOT_BITS) - 1)).astype(np.int32)
+def word_hash(words: list[str]) -> np.ndarray:
+    """Spark's xxhash64 of each word."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 @dataclass
 class Model:
-    """``gram[k]`` and ``back[k]``: sorted slots and, for each language, the discounted probability of a (k+1)-gram and the back-off weight of its context."""
+    """``orders[k]``: tables (high, low, lang, v) of discounted probabilities of (k+1)-grams, and of back-off weights of their contexts."""
 
     languages: list[str]
-    gram: list[tuple[np.ndarray, np.ndarray]]
-    back: list[tuple[np.ndarray, np.ndarray]]
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
-
-    def costs(self, words: list[str]) -> np.ndarray:
-        """Nats of each word under each language; the last column counts symbols."""
-        key, count = grams(words)
-        p = np.full((len(key), len(self.languages)), 1.0 / SYMBOLS)
-        for k in range(ORDER):
-            gram = key & ((1 << CHAR_BITS * (k + 1)) - 1)
-            p *= self._look(self.back[k], slots(gram >> CHAR_BITS), 1.0)
-            p += self._look(self.gram[k], slots(gram), 0.0)
-        total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(-np.log(p), axis=0)])
-        ends = np.cumsum(count)
-        return np.column_stack([total[ends] - total[ends - count], count])
-
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], slot: np.ndarray, otherwise: float) -> np.ndarray:
-        keys, values = table
-        if not len(keys):
-            return np.full((len(slot), values.shape[1]), otherwise)
-        at = np.minimum(np.searchsorted(keys, slot), len(keys) - 1)
-        return np.where((keys[at] == slot)[:, None], values[at], otherwise)
-
-
-def _counts(docs: DataFrame) -> DataFrame:
-    """(lang, key, n): 5-gram counts over (text, lang)."""
+    orders: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)
+    #: For each language: median cross-entropy and upper spread of calibration rows as (a, b), the spread of a text of n symbols being sqrt(a + b / n).
+    middle: list[float] | None = None
+    costs: DataFrame | None = None
+    #: The broadcast arrays of frequent words, and whether they hold all that are priced.
+    frequent: object = None
+    whole: bool = False
+    spread: list[tuple[float, float]] | None = None
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
 
-        def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            key, n = (np.concatenate(x) for x in zip(*parts))
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, n, len(key)).astype(np.int64)
+def _words(docs: DataFrame, *others: str) -> DataFrame:
+    """(*others, word, n): how often each word stands in the texts, for each value of the other (string) columns."""
+    names = [*others, "word", "n"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
 
-        def rows(lang: str) -> pa.RecordBatch:
-            key, n = merged(held.pop(lang))
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n)], names=["lang", "key", "n"])
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held)) or [()] * (len(others) + 1)
+            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(held.values(), pa.int64())], names=names)
+            held.clear()
+            return made
 
         for batch in common.slices(batches, "text"):
-            langs = batch.column(1)
-            for lang in pc.unique(langs).to_pylist():
-                code, words, _ = words_of(batch.column(0).filter(pc.equal(langs, lang)))
-                times = np.bincount(code, minlength=len(words))
-                key, count = grams(words)
-                held.setdefault(lang, []).append(merged([(key, np.repeat(times, count))]))
-                if sum(len(k) for k, _ in held[lang]) > GATHER // 2:
-                    held[lang] = [merged(held[lang])]
-                    if len(held[lang][0][0]) > GATHER // 4:
-                        yield rows(lang)
-        for lang in list(held):
-            yield rows(lang)
-
-    made = docs.select("text", "lang").mapInArrow(task, "lang string, key long, n long")
-    return made.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+            part = pa.Table.from_batches([batch]).group_by(list(others)).aggregate([("text", "list")]) if others else None
+            for k in range(part.num_rows if part is not None else 1):
+                key = tuple(part.column(c)[k].as_py() for c in others) if part is not None else ()
+                code, words, _ = words_of(part.column("text_list")[k].values if part is not None else batch.column("text"))
+                for w, n in zip(words, np.bincount(code, minlength=len(words)).tolist()):
+                    if w:
+                        held[*key, w] = held.get((*key, w), 0) + n
+            if len(held) > GATHER:
+                yield out()
+        yield out()
+
+    schema = ", ".join([*(f"`{c}` string" for c in others), "word string", "n long"])
+    return docs.select("text", *others).mapInArrow(task, schema).groupBy(*others, "word").agg(F.sum("n").alias("n"))
+
+
+def _context(high: Column, low: Column) -> tuple[Column, Column]:
+    """An n-gram without its last character."""
+    down = F.shiftright(low, CHAR_BITS).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(MASK)), 2 * CHAR_BITS))
+    return F.shiftright(high, CHAR_BITS).alias("high"), down.alias("low")
+
+
+def _suffix(k: int) -> tuple[Column, Column]:
+    """The last ``k`` characters of an n-gram."""
+    high = F.col("high").bitwiseAND(F.lit((1 << CHAR_BITS * max(k - 3, 0)) - 1))
+    return high.alias("high"), F.col("low").bitwiseAND(F.lit((1 << CHAR_BITS * min(k, 3)) - 1)).alias("low")
 
 
 def train(docs: DataFrame) -> Model:
     """Models from the rows of ``docs`` (text, lang), all of which count."""
-    g = common.scratch(_counts(docs.where("text is not null and lang is not null")), "grams")
-    languages = [r.lang for r in g.select("lang").distinct().orderBy("lang").collect()]
-    if not languages:
-        return Model([], [], [])
-    gram, back = [None] * ORDER, [None] * ORDER
-    slot = lambda key: F.xxhash64(key).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int").alias("slot")
-
-    number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
-
-    def array(df: DataFrame, value: str, otherwise: float) -> tuple[np.ndarray, np.ndarray]:
-        rows = df.groupBy("slot", number.cast("int").alias("k")).agg(F.max(value).cast("float").alias("v")).toArrow()  # at most 2^22 slots a language
-        slot, k, v = (rows.column(c).to_numpy() for c in ("slot", "k", "v"))
-        keys, row = np.unique(slot, return_inverse=True)
-        values = np.full((len(keys), len(languages)), otherwise, np.float32)
-        values[row, k] = v
-        return keys.astype(np.int32), values
+    words = common.scratch(_words(docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang")), "lang"), "taught-words")
+    languages = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, low, count = grams(batch.column("word").to_pylist())
+            row = np.repeat(np.arange(batch.num_rows), count)
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row)), pa.array(high), pa.array(low), batch.column("n").take(pa.array(row))], names=["lang", "high", "low", "n"])
+
+    g = words.mapInArrow(task, "lang string, high long, low long, n long").groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
+    g = common.scratch(g, "grams")
+    orders: list = [None] * ORDER
     for k in range(ORDER - 1, -1, -1):
         discount = g.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("double")).alias("n1"), F.sum((F.col("n") == 2).cast("double")).alias("n2"))
         discount = discount.select("lang", F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0)))).alias("d"))
-        context = F.shiftright("key", CHAR_BITS)
-        per = g.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(F.broadcast(discount), "lang")
+        discount = F.broadcast(discount)  # a row for each language
+        high, low = _context(F.col("high"), F.col("low"))
+        keyed = g.select("lang", high.alias("context_high"), low.alias("context_low"), "high", "low", "n")
+        per = keyed.groupBy("lang", "context_high", "context_low").agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(discount, "lang")
         per = common.scratch(per, "contexts")
-        gram[k] = array(g.withColumn("context", context).join(per, ["lang", "context"]).select("lang", slot(F.col("key")), ((F.col("n") - F.col("d")) / F.col("total")).alias("v")), "v", 0.0)
-        back[k] = array(per.select("lang", slot(F.col("context")), (F.col("d") * F.col("types") / F.col("total")).alias("v")), "v", 1.0)
+        gram = keyed.join(per, ["lang", "context_high", "context_low"]).select("high", "low", "lang", ((F.col("n") - F.col("d")) / F.col("total")).alias("v"))
+        back = per.select(F.col("context_high").alias("high"), F.col("context_low").alias("low"), "lang", (F.col("d") * F.col("types") / F.col("total")).alias("v"))
+        orders[k] = gram, back
         if k:
-            g = common.scratch(g.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << CHAR_BITS * k) - 1)).alias("key")).agg(F.count("*").alias("n")), "grams")
-    return Model(languages, gram, back)
+            g = common.scratch(g.groupBy("lang", *_suffix(k)).agg(F.count("*").alias("n")), "grams")
+    return Model(languages, orders if languages else [])
 
 
-#: Words whose costs a task remembers.
-REMEMBERED = 400_000
+def _by_language(table: DataFrame, languages: list[str], name: str) -> DataFrame:
+    """A row for each n-gram, its values in an array by language."""
+    found = table.groupBy("high", "low").agg(F.map_from_entries(F.collect_list(F.struct("lang", "v"))).alias("m"))
+    return found.select("high", "low", F.array(*(F.try_element_at("m", F.lit(x)) for x in languages)).alias(name))
+
+
+def word_costs(words: DataFrame, model: Model) -> DataFrame:
+    """(h, symbols, cost): for each distinct word its hash, symbols and nats under each language."""
+    n = len(model.languages)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled = batch.column("word").to_pylist()
+            high, low, count = grams(spelled)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word_hash(spelled), count)), pa.array(high), pa.array(low)], names=["h", "high", "low"])
+
+    each = common.scratch(words.select("word").mapInArrow(task, "h long, high long, low long"), "word-grams")
+    needed = [common.scratch(each.select("high", "low").distinct(), "needed-grams")]
+    for k in range(ORDER - 1, 0, -1):
+        needed.insert(0, needed[0].select(*_suffix(k)).distinct())
+    lower = None
+    for k in range(ORDER):
+        gram, back = model.orders[k]
+        high, low = _context(F.col("high"), F.col("low"))
+        own = needed[k].select("high", "low", high.alias("context_high"), low.alias("context_low"), *(x.alias(f"suffix_{x_name}") for x, x_name in zip(_suffix(k), ("high", "low"))))
+        own = own.join(_by_language(gram, model.languages, "p"), ["high", "low"], "left")
+        contexts = _by_language(back, model.languages, "b").withColumnsRenamed({"high": "context_high", "low": "context_low"})
+        own = own.join(contexts, ["context_high", "context_low"], "left")
+        below = F.array(*(F.lit(1.0 / SYMBOLS) for _ in range(n)))
+        if lower is not None:
+            own = own.join(lower.withColumnsRenamed({"high": "suffix_high", "low": "suffix_low", "q": "below"}), ["suffix_high", "suffix_low"])
+            below = F.col("below")
+        at = lambda c, i, otherwise: F.coalesce(F.get(c, F.lit(i)), F.lit(otherwise))
+        q = [at("p", i, 0.0) + at("b", i, 1.0) * F.get(below, F.lit(i)) for i in range(n)]
+        lower = own.select("high", "low", F.array(*q).alias("q"))
+    cost = F.array(*(F.sum(-F.log(F.get("q", F.lit(i)))) for i in range(n)))
+    return common.scratch(each.join(lower, ["high", "low"]).groupBy("h").agg(F.count("*").alias("symbols"), cost.alias("cost")), "word-costs")
+
+
+def price(model: Model, docs: DataFrame) -> Model:
+    """``model`` with the costs of all words of ``docs`` (which has a text column)."""
+    n = len(model.languages)
+    words = common.scratch(_words(docs), "words")
+    model.costs = costs = word_costs(words, model)
+    most = max(1, HELD // (n + 2))
+    held = words.orderBy(F.desc("n"), "word").limit(most).select(F.xxhash64("word").alias("h"))
+    model.whole = words.count() <= most
+    some = (costs if model.whole else costs.join(held, "h", "left_semi")).toArrow()  # at most HELD numbers
+    keys = some.column("h").to_numpy()
+    order = np.argsort(keys)
+    values = np.column_stack([some.column("symbols").to_numpy(), some.column("cost").combine_chunks().flatten().to_numpy().reshape(len(keys), n)])[order] if len(keys) else np.zeros((0, n + 1))
+    model.frequent = docs.sparkSession.sparkContext.broadcast((keys[order], values))
+    return model
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _symbols and _cost (cross-entropy under each language, null without letters); ``docs`` has a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_symbols long", "_cost array<double>"])
+    """(row, _symbols, _cost): the row of ``docs`` (which has a text column), its symbols, and its cross-entropy under each language, null without letters. The words of ``docs`` are priced."""
+    n, shared, costs = len(model.languages), model.frequent, model.costs
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, _symbols long, _sum array<double>, _rest array<struct<h: long, n: long>>"
+    rest_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        width = len(model.languages) + 1
-        known: dict[str, int] = {}
-        rows = np.zeros((0, width))
+        keys, values = shared.value
         for batch in common.slices(batches, "text"):
-            code, words, offsets = words_of(batch.column(names.index("text")))
-            if len(known) > REMEMBERED:
-                known.clear()
-                rows = rows[:0]
-            new = [w for w in words if w not in known]
-            if new:
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                rows = np.concatenate([rows, model.costs(new)])
-            number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            total = np.concatenate([np.zeros((1, width)), np.cumsum(rows[number][code], axis=0)])[offsets]
+            code, words, offsets = words_of(batch.column("text"))
+            h = word_hash(words)
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            known[[k for k, w in enumerate(words) if not w]] = True  # between two separators; no symbol
+            own = np.zeros((len(words), n + 1))
+            full = np.fromiter(map(bool, words), bool, len(words)) & known
+            own[full] = values[at[full]]
+            total = np.concatenate([np.zeros((1, n + 1)), np.cumsum(own[code], axis=0)])[offsets]
             total = total[1:] - total[:-1]
-            n = np.rint(total[:, -1]).astype(np.int64)
-            cost = total[:, :-1] / np.maximum(n, 1)[:, None]
-            cost = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (width - 1)), pa.array(cost.ravel()), mask=pa.array(n == 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), cost], names=[*names, "_symbols", "_cost"])
-
-    return docs.mapInArrow(task, schema)
+            unknown = ~known[code]
+            before = np.concatenate([[0], np.cumsum(unknown)])[offsets].astype(np.int32)
+            rest = pa.StructArray.from_arrays([pa.array(h[code[unknown]]), pa.array(np.ones(int(unknown.sum()), np.int64))], names=["h", "n"])
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * n), pa.array(total[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(total[:, 0]).astype(np.int64)), sums, pa.ListArray.from_arrays(pa.array(before), rest).cast(rest_type)], names=["row", "_symbols", "_sum", "_rest"])
+
+    made = rows.mapInArrow(task, schema)
+    ratio = lambda sums, symbols: F.when(symbols > 0, F.transform(sums, lambda x: x / symbols))
+    if model.whole:  # no word lies beyond the arrays
+        return made.select("row", "_symbols", ratio(F.col("_sum"), F.col("_symbols")).alias("_cost"))
+    made = common.scratch(made.withColumn("_key", F.xxhash64("row.text")), "scored")
+    tail = made.where(F.size("_rest") > 0).groupBy("_key").agg(F.first("_rest").alias("rest")).select("_key", F.explode("rest").alias("r")).select("_key", "r.*")
+    tail = tail.groupBy("_key", "h").agg(F.sum("n").alias("n")).join(costs, "h")
+    tail = tail.groupBy("_key").agg(F.sum(F.col("n") * F.col("symbols")).alias("more"), F.array(*(F.sum(F.col("n") * F.get("cost", F.lit(i))) for i in range(n))).alias("cost"))
+    both = made.join(tail, "_key", "left")
+    symbols = F.col("_symbols") + F.coalesce("more", F.lit(0))
+    sums = F.when(F.col("cost").isNull(), F.col("_sum")).otherwise(F.zip_with("_sum", "cost", lambda a, b: a + b))
+    return both.select("row", symbols.alias("_symbols"), ratio(sums, symbols).alias("_cost"))
 
 
 def calibrate(model: Model, docs: DataFrame) -> Model:
-    """``model`` with the mean cross-entropy of each language over the rows of ``docs`` (text, lang) and its spread for a single symbol."""
-    at = F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang"))
-    one = _scored(docs.select("text", "lang"), model).where("_cost is not null").select("lang", "_symbols", F.get("_cost", (at - 1).cast("int")).alias("x"))
-    got = one.groupBy("lang").agg((F.sum(F.col("x") * F.col("_symbols")) / F.sum("_symbols")).alias("mean"), F.avg(F.col("_symbols") * F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("_symbols") * F.col("x")).alias("x1"), F.avg("_symbols").alias("n")).collect()
-    model.mean, model.spread = np.full(len(model.languages), np.inf), np.zeros(len(model.languages))
-    for r in got:
-        k = model.languages.index(r.lang)
-        model.mean[k] = r["mean"]
-        model.spread[k] = max(r.xx - 2 * r["mean"] * r.x1 + r["mean"] ** 2 * r.n, 0.0) ** 0.5
+    """``model`` with the middle and the upper spread of the cross-entropy of the rows of ``docs`` (text, lang), whose words are priced, under their own language.
+
+    The spread s(n) of texts of n symbols is fitted to the 99th percentiles
+    above the middle in bands of length, as s(n)^2 = a + b / n with a, b >= 0:
+    texts differ by their matter (a) and by chance at their length (b).
+    """
+    at = F.array_position(F.array(*map(F.lit, model.languages)), F.col("row.lang")) - 1
+    one = _scored(docs.select("text", F.col("lang").cast("string").alias("lang")), model).where("_cost is not null")
+    one = common.scratch(one.select("row.lang", F.col("_symbols").alias("n"), F.get("_cost", at.cast("int")).alias("x")).where("x is not null"), "calibration")
+    middle = one.groupBy("lang").agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("middle"))  # of symbols, so that long texts weigh as they are
+    band = F.floor(F.log2("n"))
+    bands = one.join(F.broadcast(middle), "lang").groupBy("lang", band.alias("band")).agg(F.percentile(F.col("x") - F.col("middle"), F.lit(0.99)).alias("s"), F.avg(1 / F.col("n")).alias("inverse"), F.count("*").alias("rows"), F.first("middle").alias("middle"))
+    got = bands.collect()  # a row for each language and power of two
+    model.middle, model.spread = [float("inf")] * len(model.languages), [(0.0, 0.0)] * len(model.languages)
+    for k, lang in enumerate(model.languages):
+        own = [r for r in got if r.lang == lang]
+        if own:
+            s2 = np.array([max(r.s, 0.0) ** 2 for r in own])
+            inverse, weight = np.array([r.inverse for r in own]), np.array([r.rows for r in own], float)
+            spread = weight @ (inverse - weight @ inverse / weight.sum()) ** 2
+            b = max(0.0, float(weight @ ((inverse - weight @ inverse / weight.sum()) * s2) / spread)) if spread > 0 else 0.0
+            a = max(0.0, float(weight @ (s2 - b * inverse) / weight.sum()))
+            model.middle[k], model.spread[k] = own[0].middle, (a, b)
     return model
 
 
-def predict(docs: DataFrame, model: Model, sigmas: float = 8.0, slack: float = 1.0) -> DataFrame:
-    """``docs`` with lang_pred, score, cross_entropy and rejected. Only the text column is looked at."""
+def predict(docs: DataFrame, model: Model, factor: float = 3.0) -> DataFrame:
+    """(row, lang_pred, score, cross_entropy, excess, rejected): ``row`` is the row of ``docs``, of which only the text is looked at and whose words are priced; ``excess`` is the cross-entropy above the middle in spreads, and beyond ``factor`` a text is rejected."""
     n = len(model.languages)
-    names = [c for c in docs.columns]
     if not n:
-        return docs.select("*", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        none = F.lit(None).cast("double")
+        return docs.select(F.struct("*").alias("row"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("cross_entropy"), none.alias("excess"), F.lit(True).alias("rejected"))
     scored = _scored(docs, model)
     least = F.array_min("_cost")
     k = (F.array_position("_cost", least) - 1).cast("int")
     # the share of the best language if every language has a likelihood with the square root of the text's symbols
     odds = F.aggregate("_cost", F.lit(0.0), lambda a, c: a + F.exp((least - c) * F.sqrt("_symbols")))
     get = lambda values: F.get(F.array(*(F.lit(float(v)) for v in values)), k)
-    mean, spread = (model.mean, model.spread) if model.mean is not None else ([float("inf")] * n, [0.0] * n)
-    bound = get(mean) + F.greatest(F.lit(slack), sigmas * get(spread) / F.sqrt("_symbols"))
+    middle, spread = model.middle or [float("inf")] * n, model.spread or [(0.0, 0.0)] * n
+    width = F.sqrt(get([a for a, _ in spread]) + get([b for _, b in spread]) / F.col("_symbols"))
+    # a spread of nothing (one calibration text) is taken as one millionth of a nat
+    excess = (least - get(middle)) / F.greatest(width, F.lit(1e-6))
     none = F.col("_cost").isNull()
     return scored.select(
-        *(F.col(f"`{c}`") for c in names),
+        "row",
         F.when(none, UNDETERMINED).otherwise(F.get(F.array(*map(F.lit, model.languages)), k)).alias("lang_pred"),
         F.when(none, 0.0).otherwise(1 / odds).alias("score"),
         least.alias("cross_entropy"),
-        F.when(none, True).otherwise(least > bound).alias("rejected"),
+        excess.alias("excess"),
+        F.when(none, True).otherwise(excess > factor).alias("rejected"),
     )
 
 
-def fold(id_col: str = "doc_id"):
-    """crc32 of the id as text, modulo 5; rows of fold 0 are held out."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+def fold(id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5; rows of fold 0 are held out, as are rows without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, text, held_out, lang_pred, score, cross_entropy, rejected): models from folds 1 to 4, calibrated on fold 1, applied to all rows."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(fold(id_col), F.lit(0)).alias("fold"))
-    taught = plain.where("fold <> 0 and lang is not null")
-    model = train(taught)
+def learn(docs: DataFrame) -> Model:
+    """Models of (text, lang, fold) that price all words of ``docs``: learnt from folds 2 to 4 and calibrated on fold 1; where folds 2 to 4 give no language, learnt from fold 1 and not calibrated."""
+    model = train(docs.where("fold >= 2"))
     if model.languages:
-        model = calibrate(model, taught.where("fold = 1"))
-    return predict(plain.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")), model)
+        return calibrate(price(model, docs), docs.where("fold = 1 and lang is not null"))
+    model = train(docs.where("fold = 1"))
+    return price(model, docs) if model.languages else model
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, cross_entropy, excess, rejected) for every row."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold(id_col).alias("fold"))
+    made = predict(plain.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")), learn(plain))
+    return made.select("row.doc_id", "row.held_out", "lang_pred", "score", "cross_entropy", "excess", "rejected")
