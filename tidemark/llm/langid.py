@@ -224,7 +224,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """(row, _symbols, _cost): the row of ``docs`` (which has a text column), its symbols, and its cross-entropy under each language, null without letters. The words of ``docs`` are priced."""
     n, shared, costs = len(model.languages), model.frequent, model.costs
     rows = docs.select(F.struct("*").alias("row"), "text")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, _symbols long, _sum array<double>, _rest array<struct<h: long, n: long>>"
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, _known long, _sum array<double>, _rest array<struct<h: long, n: long>>"
     rest_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,18 +244,18 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             before = np.concatenate([[0], np.cumsum(unknown)])[offsets].astype(np.int32)
             rest = pa.StructArray.from_arrays([pa.array(h[code[unknown]]), pa.array(np.ones(int(unknown.sum()), np.int64))], names=["h", "n"])
             sums = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * n), pa.array(total[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(total[:, 0]).astype(np.int64)), sums, pa.ListArray.from_arrays(pa.array(before), rest).cast(rest_type)], names=["row", "_symbols", "_sum", "_rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(total[:, 0]).astype(np.int64)), sums, pa.ListArray.from_arrays(pa.array(before), rest).cast(rest_type)], names=["row", "_known", "_sum", "_rest"])
 
     made = rows.mapInArrow(task, schema)
     ratio = lambda sums, symbols: F.when(symbols > 0, F.transform(sums, lambda x: x / symbols))
     if model.whole:  # no word lies beyond the arrays
-        return made.select("row", "_symbols", ratio(F.col("_sum"), F.col("_symbols")).alias("_cost"))
+        return made.select("row", F.col("_known").alias("_symbols"), ratio(F.col("_sum"), F.col("_known")).alias("_cost"))
     made = common.scratch(made.withColumn("_key", F.xxhash64("row.text")), "scored")
     tail = made.where(F.size("_rest") > 0).groupBy("_key").agg(F.first("_rest").alias("rest")).select("_key", F.explode("rest").alias("r")).select("_key", "r.*")
     tail = tail.groupBy("_key", "h").agg(F.sum("n").alias("n")).join(costs, "h")
     tail = tail.groupBy("_key").agg(F.sum(F.col("n") * F.col("symbols")).alias("more"), F.array(*(F.sum(F.col("n") * F.get("cost", F.lit(i))) for i in range(n))).alias("cost"))
     both = made.join(tail, "_key", "left")
-    symbols = F.col("_symbols") + F.coalesce("more", F.lit(0))
+    symbols = F.col("_known") + F.coalesce("more", F.lit(0))
     sums = F.when(F.col("cost").isNull(), F.col("_sum")).otherwise(F.zip_with("_sum", "cost", lambda a, b: a + b))
     return both.select("row", symbols.alias("_symbols"), ratio(sums, symbols).alias("_cost"))
 
