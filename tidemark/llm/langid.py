@@ -15,9 +15,9 @@ by a 64-bit hash, which tasks search for each distinct word of a slice; the
 words beyond them are summed by a join on the same hash.
 
 A text gets the language of the lowest cross-entropy for each symbol. It is
-rejected if that exceeds what calibration rows of this language show: their
-median and their upper spread (the 99th percentile above the median) at the
-text's length, times ``factor``. Calibration rows are not training rows.
+rejected if that exceeds the middle of the calibration rows of this language by
+``factor`` times their upper spread at the text's length. Calibration rows are
+not training rows.
 
 Defined cases: a text that is null or has no letter is ``und`` and rejected;
 ties go to the language that sorts first; without training rows every text is
@@ -49,6 +49,10 @@ UNDETERMINED = "und"
 GATHER = 300_000
 #: Numbers (a hash, a count of symbols and a cost for each language) in the broadcast arrays of frequent words.
 HELD = 4 << 20
+#: Upper spread of the cross-entropy, as a share of its middle, that is always allowed for.
+LEAST_SPREAD = 0.02
+#: Calibration rows of a band of lengths from which it counts.
+BAND = 20
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -263,27 +267,28 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 def calibrate(model: Model, docs: DataFrame) -> Model:
     """``model`` with the middle and the upper spread of the cross-entropy of the rows of ``docs`` (text, lang), whose words are priced, under their own language.
 
-    The spread s(n) of texts of n symbols is fitted to the 99th percentiles
-    above the middle in bands of length, as s(n)^2 = a + b / n with a, b >= 0:
-    texts differ by their matter (a) and by chance at their length (b).
+    The spread s(n) of texts of n symbols is s(n)^2 = a + b / n: texts differ by
+    their matter (a) and by chance at their length (b). Both come from 99th
+    percentiles above the middle: a from all rows, b from the band of lengths (between powers of two, of ``BAND`` rows or more) that
+    needs the largest. So junk that is up to one row in a hundred does not widen
+    them. A spread is at least ``LEAST_SPREAD`` of the middle.
     """
     at = F.array_position(F.array(*map(F.lit, model.languages)), F.col("row.lang")) - 1
     one = _scored(docs.select("text", F.col("lang").cast("string").alias("lang")), model).where("_cost is not null")
     one = common.scratch(one.select("row.lang", F.col("_symbols").alias("n"), F.get("_cost", at.cast("int")).alias("x")).where("x is not null"), "calibration")
     middle = one.groupBy("lang").agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("middle"))  # of symbols, so that long texts weigh as they are
-    band = F.floor(F.log2("n"))
-    bands = one.join(F.broadcast(middle), "lang").groupBy("lang", band.alias("band")).agg(F.percentile(F.col("x") - F.col("middle"), F.lit(0.99)).alias("s"), F.avg(1 / F.col("n")).alias("inverse"), F.count("*").alias("rows"), F.first("middle").alias("middle"))
-    got = bands.collect()  # a row for each language and power of two
-    model.middle, model.spread = [float("inf")] * len(model.languages), [(0.0, 0.0)] * len(model.languages)
+    above = one.join(F.broadcast(middle), "lang").withColumn("over", F.col("x") - F.col("middle"))
+    upper = F.percentile("over", F.lit(0.99)).alias("s")
+    every = {r.lang: r for r in above.groupBy("lang").agg(upper, F.first("middle").alias("middle")).collect()}  # a row for each language
+    bands = above.groupBy("lang", F.floor(F.log2("n")).alias("band")).agg(upper, F.avg(1 / F.col("n")).alias("inverse"), F.count("*").alias("rows"))
+    bands = bands.where(F.col("rows") >= BAND).collect()  # a row for each language and power of two
+    model.middle, model.spread = [float("inf")] * len(model.languages), [(1.0, 0.0)] * len(model.languages)
     for k, lang in enumerate(model.languages):
-        own = [r for r in got if r.lang == lang]
-        if own:
-            s2 = np.array([max(r.s, 0.0) ** 2 for r in own])
-            inverse, weight = np.array([r.inverse for r in own]), np.array([r.rows for r in own], float)
-            spread = weight @ (inverse - weight @ inverse / weight.sum()) ** 2
-            b = max(0.0, float(weight @ ((inverse - weight @ inverse / weight.sum()) * s2) / spread)) if spread > 0 else 0.0
-            a = max(0.0, float(weight @ (s2 - b * inverse) / weight.sum()))
-            model.middle[k], model.spread[k] = own[0].middle, (a, b)
+        if lang in every:
+            r = every[lang]
+            a = max(r.s, LEAST_SPREAD * r.middle) ** 2
+            b = max([0.0, *((max(x.s, 0.0) ** 2 - a) / x.inverse for x in bands if x.lang == lang)])
+            model.middle[k], model.spread[k] = r.middle, (a, b)
     return model
 
 
@@ -299,10 +304,9 @@ def predict(docs: DataFrame, model: Model, factor: float = 3.0) -> DataFrame:
     # the share of the best language if every language has a likelihood with the square root of the text's symbols
     odds = F.aggregate("_cost", F.lit(0.0), lambda a, c: a + F.exp((least - c) * F.sqrt("_symbols")))
     get = lambda values: F.get(F.array(*(F.lit(float(v)) for v in values)), k)
-    middle, spread = model.middle or [float("inf")] * n, model.spread or [(0.0, 0.0)] * n
+    middle, spread = model.middle or [float("inf")] * n, model.spread or [(1.0, 0.0)] * n
     width = F.sqrt(get([a for a, _ in spread]) + get([b for _, b in spread]) / F.col("_symbols"))
-    # a spread of nothing (one calibration text) is taken as one millionth of a nat
-    excess = (least - get(middle)) / F.greatest(width, F.lit(1e-6))
+    excess = (least - get(middle)) / width
     none = F.col("_cost").isNull()
     return scored.select(
         "row",

@@ -65,14 +65,15 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row, as a signed 64-bit value."""
+    """(doc_id, text_hash, fp): the fingerprint of every row, as a signed 64-bit value, and Spark's xxhash64 of its text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(task, "doc_id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return source.mapInArrow(task, "doc_id long, text_hash long, fp long")
 
 
 def _patterns(width: int) -> tuple[list[list[int]], list[int]]:
@@ -168,12 +169,36 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return rows.mapInArrow(task, "a long, b long")
 
 
+def _classes(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, component): the component of each distinct fingerprint is its smallest fingerprint."""
+    distinct = common.scratch(prints.select("fp").distinct(), "distinct-fingerprints")
+    found = common.components(links(distinct, distance)).select(F.col("node").alias("fp"), "component")
+    return distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; the component is its smallest doc_id."""
     prints = common.scratch(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = common.scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    found = common.components(links(distinct, distance)).select(F.col("node").alias("fp"), "component")
-    grouped = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = _classes(prints, distance).join(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = grouped.join(least, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each component does: that of the least id (rows without one last), of equal ids that of the least text hash, of equal texts the least row."""
+    prints = common.scratch(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    first = prints.groupBy("fp").agg(F.min(rank).alias("first"))
+    first = _classes(prints, distance).join(first, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    kept = common.scratch(first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")), "kept")
+    own, text = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    rows = docs.select(F.struct("*").alias("row"), own.alias("own_id"), text.alias("own_hash"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
+    again = prints.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    again = common.scratch(again, "repeated")
+    if again.limit(1).count():
+        several = rows.join(again, same, "left_semi").groupBy("own_id", "own_hash").agg(F.min("row").alias("row"))
+        rows = rows.join(again, same, "left_anti").select("row").unionByName(several.select("row"))
+    return rows.select("row.*")
