@@ -1,8 +1,8 @@
 """A training-data pipeline in five stages, each on all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns
-of documents; the last returns the pieces of packed sequences. Rows without a
-doc_id are dropped by the near-duplicate stage, as nothing can refer to them.
+of documents; the last returns the pieces of packed sequences. Rows may lack an
+id or repeat one: what stays is decided by row, see each stage.
 """
 
 from __future__ import annotations
@@ -25,29 +25,19 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined and whose cross-entropy is in its calibrated range; the others go."""
-    taught = docs.select("doc_id", "text", "lang").where(langid.fold() != 0).where("lang is not null")
-    model = langid.train(taught)
-    if model.languages:
-        model = langid.calibrate(model, taught.where(langid.fold() == 1))
-    marked = langid.predict(docs.select(F.struct("*").alias("_row"), "text"), model)
-    return marked.where("not rejected").select("_row.*")
+    model = langid.learn(docs.select("text", "lang", langid.fold().alias("fold")))
+    return langid.predict(docs, model).where("not rejected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates."""
-    found = common.scratch(simhash.near_duplicates(docs), "near-duplicates")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns)
+    """One document of each group of near-duplicates: that of the smallest id, rows without an id last; of equal ids that of the least text hash."""
+    return simhash.one_of_each(docs).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the byte strings that a document of a smaller id has; a character that loses some of its bytes goes, and a null text becomes empty."""
-    made = suffixes.without_repeats(docs, rows=True).select("row.*", F.col("kept").cast("string").alias("_kept"), F.col("n_removed").alias("_gone"))
-    text = F.when(F.col("_gone") == 0, F.col("_kept")).otherwise(F.replace(F.make_valid_utf8("_kept"), F.lit("\ufffd"), F.lit("")))
-    return _with_text(made, docs.columns, text)
+    made = suffixes.without_repeats(docs, rows=True, characters=True).select("row.*", F.col("kept").cast("string").alias("_kept"))
+    return _with_text(made, docs.columns, F.col("_kept"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
