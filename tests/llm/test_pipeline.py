@@ -63,6 +63,21 @@ def test_near_duplicate_stage_keeps_one_of_each_group(staged):
     assert set(after) == set(groups.values()) and len(after) < len(groups)
 
 
+def test_rows_without_an_id_and_repeated_ids_are_decided_by_row(spark):
+    long = " ".join(f"word{k}" for k in range(80))
+    made = [(None, long, "en", "s", 1), (None, "another text of its own that nothing else is like", "en", "s", 2), (5, long, "en", "s", 3), (5, "quite a different text under the same id as one above", "en", "s", 4), (5, long, "en", "r", 9), (7, None, "en", "s", 0), (8, "  ", "en", "s", 2)]
+    frame = spark.createDataFrame(made, SCHEMA).repartition(3)
+    got = {tuple(r) for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()}
+    assert got == {made[1], made[3], made[4], made[5]}
+
+
+def test_genuine_replacement_characters_stay(spark):
+    text = "é" * 30 + "漢字 a passage long enough to be found twice in the table"
+    frame = spark.createDataFrame([(1, text, "en", "s", 1), (2, "\ufffd kept " + "ü" + text[1:] + "\ufffd", "en", "s", 1)], SCHEMA)
+    after = texts(corpus_pipeline.repeated_passages(spark, frame, ""))
+    assert after[1] == text and after[2] == "\ufffd kept ü\ufffd"
+
+
 def test_passages_stay_in_one_document(staged):
     before, after = texts(staged[1][2]), texts(staged[1][3])
     assert set(before) == set(after)
