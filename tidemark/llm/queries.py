@@ -37,7 +37,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(_table(spark, sf_dir, "documents")))
+    return media.features(media.tensors(media.store(_table(spark, sf_dir, "documents"))))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
