@@ -13,7 +13,8 @@ pieces of that length, and the joins or backpointers work on those tables.
 Texts are cut before every run of blanks (no piece goes on across one), so
 each distinct word is encoded once in a task and remembered.
 
-Defined cases: a null or empty text has no ids; the mark U+2581 in a text
+Defined cases: a null or empty text has no ids; a row without an id keeps none;
+a word of any length is encoded whole, in n log n steps by merges; the mark U+2581 in a text
 decodes to a blank; repeated rows are each returned; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -25,6 +26,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -263,16 +265,21 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, which keeps the vocabulary and the words of earlier tasks."""
+    return Encoder(Vocabulary(path))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids, ids_crc32, decoded_sha256, round_trip) for every row: ids as an array, the CRC-32 of their little-endian uint32, and the digest of what they decode to."""
     names = ["doc_id", "n_ids", "ids", "ids_crc32", "decoded_sha256", "round_trip"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        encoder = Encoder(vocabulary)
+        own = encoder(path)
         for batch in common.slices(batches, "text"):
-            every = encoder(batch.column(1))
-            decoded = [vocabulary.decode(ids) for ids in every]
+            every = own(batch.column(1))
+            decoded = [own.vocabulary.decode(ids) for ids in every]
             same = [d == x.as_buffer().to_pybytes() for d, x in zip(decoded, common.text_bytes(batch.column(1)))]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in every])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -295,7 +302,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = encoder(path).vocabulary
         for batch in batches:
             texts = [vocabulary.decode(np.array(x.as_py() or [], np.int64)).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
