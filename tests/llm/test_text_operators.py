@@ -518,7 +518,8 @@ def test_hashes_are_those_of_spark(spark):
 
 def test_media_round_trip(spark, docs, nothing):
     stored = media.store(docs)
-    got = {r["doc_id"]: r for r in rows(media.features(stored))}
+    made = media.tensors(stored)
+    got = {r["doc_id"]: r for r in rows(media.features(made))}
     for doc, text, *_ in corpus():
         data = (text or "").encode()
         payload = data + bytes(-len(data) % 64 if data else 64)
@@ -528,11 +529,55 @@ def test_media_round_trip(spark, docs, nothing):
     for doc, text, *_ in corpus():
         by_text.setdefault(text or "", set()).add((got[doc]["feature"], got[doc]["media_sha256"]))
     assert all(len(v) == 1 for v in by_text.values())
-    assert media.features(media.store(nothing)).count() == 0
-    parts = media.tensors(stored.where("n_bytes > 2000")).toArrow()
-    table = media.tensor_table(parts)
-    assert table.column("tensor").type.shape == [media.FRAMES, media.MELS]
-    assert all(b > a for a, b in zip(parts.column("start_s").to_pylist(), parts.column("end_s").to_pylist()))
+    assert media.features(media.tensors(media.store(nothing))).count() == 0
+    for r in rows(made.where("n_bytes > 2000")):
+        table, frames = media.tensors_of(bytes(r["tensors"]))
+        assert table.schema.field("tensor").type.shape == [media.FRAMES, media.MELS] and len(frames) == -(-(r["payload_bytes"] * 3 // 4 - media.WINDOW) // media.HOP) + 1
+        starts, ends = table.column("start_s").to_pylist(), table.column("end_s").to_pylist()
+        assert starts[0] == 0 and starts[1:] == ends[:-1] and ends[-1] == pytest.approx(len(frames) * media.HOP / 6000)
+        assert all(a <= x["start_s"] < x["end_s"] <= b for a, b, part in zip(starts, ends, table.column("loud").to_pylist()) for x in part)
+
+
+@pytest.mark.parametrize("up, down", [(1, 2), (3, 4), (441, 320), (2, 1)])
+def test_every_phase_equals_direct_convolution(up, down):
+    x = np.random.default_rng(up).normal(size=900)
+    spread = np.zeros(len(x) * up)
+    spread[::up] = x
+    full = np.convolve(spread, media.phases(up, down).T.ravel())
+    at = np.arange(len(x) * up // down) * down + (media.TAPS // 2 - 1) * up
+    assert np.allclose(media.resample(x, up, down), full[at])
+
+
+def test_log_mel_equals_its_plain_definition(monkeypatch):
+    raw = np.random.default_rng(3).integers(0, 256, 64 * 67).astype(np.uint8)
+    y = media.resample((raw.astype(float) - 128) / 128)
+    window, weights = media._mel_weights()
+    count = -(-(len(y) - media.WINDOW) // media.HOP) + 1
+    y = np.concatenate([y, np.zeros(media.WINDOW)])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.WINDOW // 2 + 1), np.arange(media.WINDOW)) / media.WINDOW)
+    plain = np.array([np.log(np.maximum(np.abs(turn @ (y[k * media.HOP : k * media.HOP + media.WINDOW] * window)) ** 2 @ weights, media.FLOOR)) for k in range(count)])
+    assert np.allclose(media.log_mel(raw.tobytes()), plain)
+    monkeypatch.setattr(media, "BLOCK", media.HOP * media.DOWN * 3)
+    assert np.allclose(media.log_mel(raw.tobytes()), plain)
+    changed = raw.copy()
+    changed[-1] ^= 255
+    assert not np.allclose(media.log_mel(changed.tobytes()), plain)
+
+
+def test_segments_open_and_close_by_hysteresis():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        frames = rng.normal(size=(rng.integers(1, 90), media.MELS)).cumsum(axis=0) / 3
+        energy = 10 * np.log10(np.exp(frames).sum(axis=1))
+        energy -= energy.mean()
+        on, plain = False, []
+        for k, e in enumerate(energy):
+            if not on and e >= media.OPEN_DB:
+                on = True
+                plain.append([k, len(energy)])
+            elif on and e < media.CLOSE_DB:
+                on, plain[-1][1] = False, k
+        assert [list(x) for x in media.segments(frames)] == plain
 
 
 def test_audio_parts():
@@ -543,7 +588,7 @@ def test_audio_parts():
     x = np.sin(2 * np.pi * 300 * t)
     y = media.resample(x)
     inner = slice(200, 3000)
-    shift = np.arange(len(y)) * media.DOWN / media.RATE - 0.5 / media.RATE
+    shift = np.arange(len(y)) * media.DOWN / media.UP / media.RATE - (media.UP - 0.5) / media.UP / media.RATE
     assert np.abs(y[inner] - np.sin(2 * np.pi * 300 * shift[inner])).max() < 0.05
     with pytest.raises(ValueError):
         media.samples_of(b"RIFFxxxxWAVZ" + bytes(40))
@@ -589,7 +634,9 @@ def test_pieces_equal_those_of_the_library():
     rng = random.Random(9)
     words = ["information", "world", "something", "house", "language", "aaaaaaa", "abababab", "z", "漢字"]
     words += ["".join(rng.choice(["the", "or", "ing", "a", "e", "st", "ß", "漢", "🙂", "1", "-"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
-    texts = [*words, " ".join(words[:60]), "a" * 500 + " " + "language" * 90]
+    texts = [*words, " ".join(words[:60]), "a" * 500 + " " + "language" * 90, "".join(rng.choice("abcdefghij") for _ in range(160_000))]
+    start = time.perf_counter()
+    assert len(pieces.Encoder(vocabulary)(pa.array(texts[-1:]))[0]) > 1000 and time.perf_counter() - start < 3
     got = pieces.Encoder(vocabulary)(pa.array(texts))
     assert [x.tolist() for x in got] == [model.encode(t) for t in texts]
 
