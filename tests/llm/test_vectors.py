@@ -47,8 +47,9 @@ def table():
     return rows
 
 
-@pytest.mark.parametrize("shard_rows", [16384, 70])
-def test_links_and_components_are_those_of_brute_force(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, block", [(16384, hnsw.BLOCK), (70, 50)])
+def test_links_and_components_are_those_of_brute_force(spark, monkeypatch, shard_rows, block):
+    monkeypatch.setattr(hnsw, "BLOCK", block)
     rows = table()
     frame = spark.createDataFrame(rows + rows[:3], SCHEMA).repartition(5)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame, shard_rows=shard_rows).collect()}
@@ -72,6 +73,24 @@ def test_recall_of_the_graph():
     assert all(truth[k, graph.near(x[k], 0.93, beam)].all() for k in range(0, len(x), 50))
 
 
+def test_a_graph_is_read_as_it_was_stored():
+    x = np.random.default_rng(6).normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    again, arrays = hnsw.Graph.read(graph.stored(members=np.arange(300) * 7))
+    assert (arrays["members"] == np.arange(300) * 7).all()
+    assert all(np.array_equal(graph.near(q, 0.7, 24), again.near(q, 0.7, 24)) for q in x)
+    assert graph.audited_beam(0.7, x[:9] * 1.0, np.arange(9), 24) == again.audited_beam(0.7, x[:9], np.arange(9), 24)
+
+
+def test_copies_do_not_make_the_beam_as_wide_as_the_shard(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 4000, axis=0), rng.normal(size=(300, 16))])
+    frame = spark.createDataFrame([(k, [float(v) for v in np.float32(x[k])], 0, 0) for k in range(len(x))], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(frame).collect()}
+    assert all(got[k] == (3999, 0) for k in range(4000)) and all(got[k] == (0, k) for k in range(4000, 4300))
+
+
 def test_a_hot_group_does_not_hide_the_links_of_others(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
