@@ -110,6 +110,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def hash_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two bigints."""
+    u = np.uint64
+    turn = lambda x, k: (x << u(k)) | (x >> u(64 - k))
+    p1, p2, p3, p4, p5 = (u(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(a), 42, u)
+    for key in (a, b):
+        h = (h + u(8) + p5) ^ (turn(key.view(u) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        h = h ^ (h >> u(32))
+    return h.view(np.int64)
+
+
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest reachable index of each of ``n`` nodes under the undirected links a[i]-b[i], by min-label hooking and pointer jumping."""
     root = np.arange(n)

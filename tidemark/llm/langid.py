@@ -1,18 +1,17 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model for each language predicts every letter of a word (and its end) from
-the four before. All counts come from the distinct words of each language with
-their frequencies, which Spark aggregates over all training rows; the lower
-orders use continuation counts. An n-gram is keyed by its full code points, and
-every table (n-grams, contexts, probabilities, words) is a Spark table: nothing
-is capped or merged, and none of it passes through the driver as a whole.
-
-The words of the corpus are priced once: the distinct 5-grams they need get
-their interpolated probability under each language by joins from the lowest
-order up, and a word's cost is the sum over its 5-grams. The costs of the most
-frequent words (as many as fit ``HELD`` numbers) are broadcast as arrays sorted
-by a 64-bit hash, which tasks search for each distinct word of a slice; the
-words beyond them are summed by a join on the same hash.
+the four before. Counts of 5-grams cover all training rows; the lower orders
+use continuation counts, so all tables come from one grouped count by Spark
+aggregations. An n-gram is keyed by its full code points, and every table
+(n-grams, contexts, probabilities) is a Spark table: nothing is capped or
+merged, and none of it passes through the driver as a whole.
+
+The distinct 5-grams of the texts to be judged get their interpolated
+probability under each language once, by joins from the lowest order up. Those
+of the most frequent 5-grams (as many as fit ``HELD`` numbers) are broadcast as
+arrays sorted by a 64-bit hash, which tasks search for each distinct word of a
+slice; the 5-grams beyond them are looked up by a join and added.
 
 A text gets the language of the lowest cross-entropy for each symbol. It is
 rejected if that exceeds the middle of the calibration rows of this language by
@@ -34,7 +33,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +43,9 @@ ORDER, CHAR_BITS = 5, 21
 EDGE, SYMBOLS = 1, 0x110000 + 2
 MASK = (1 << CHAR_BITS) - 1
 UNDETERMINED = "und"
-#: Words or n-grams that a task gathers before it sends their counts.
-GATHER = 300_000
-#: Numbers (a hash, a count of symbols and a cost for each language) in the broadcast arrays of frequent words.
+#: n-grams that a task gathers before it sends their counts.
+GATHER = 3_000_000
+#: Numbers (a hash and a cost for each language) in the broadcast arrays of frequent 5-grams.
 HELD = 4 << 20
 #: Upper spread of the cross-entropy, as a share of its middle, that is always allowed for.
 LEAST_SPREAD = 0.02
@@ -78,11 +76,6 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return high, low, count
 
 
-def word_hash(words: list[str]) -> np.ndarray:
-    """Spark's xxhash64 of each word."""
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words)).view(np.int64)
-
-
 @dataclass
 class Model:
     """``orders[k]``: tables (high, low, lang, v) of discounted probabilities of (k+1)-grams, and of back-off weights of their contexts."""
@@ -91,40 +84,46 @@ class Model:
     orders: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)
     #: For each language: median cross-entropy and upper spread of calibration rows as (a, b), the spread of a text of n symbols being sqrt(a + b / n).
     middle: list[float] | None = None
+    #: (high, low, cost): nats of each priced 5-gram under each language.
     costs: DataFrame | None = None
-    #: The broadcast arrays of frequent words, and whether they hold all that are priced.
+    #: The broadcast arrays of frequent 5-grams, and whether they hold all that are priced.
     frequent: object = None
     whole: bool = False
     spread: list[tuple[float, float]] | None = None
 
 
-def _words(docs: DataFrame, *others: str) -> DataFrame:
-    """(*others, word, n): how often each word stands in the texts, for each value of the other (string) columns."""
-    names = [*others, "word", "n"]
+def _grams(docs: DataFrame) -> DataFrame:
+    """(lang, high, low, n): 5-gram counts over (text, lang); rows without a language count under null."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
+        held: dict[str | None, list] = {}
 
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*held)) or [()] * (len(others) + 1)
-            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(held.values(), pa.int64())], names=names)
-            held.clear()
-            return made
+        def merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            high, low, n = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((low, high))
+            high, low, n = high[order], low[order], n[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(high), 1), bool), (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+            return high[first], low[first], np.add.reduceat(n, first) if len(first) else n
 
-        for batch in common.slices(batches, "text"):
-            part = pa.Table.from_batches([batch]).group_by(list(others)).aggregate([("text", "list")]) if others else None
-            for k in range(part.num_rows if part is not None else 1):
-                key = tuple(part.column(c)[k].as_py() for c in others) if part is not None else ()
-                code, words, _ = words_of(part.column("text_list")[k].values if part is not None else batch.column("text"))
-                for w, n in zip(words, np.bincount(code, minlength=len(words)).tolist()):
-                    if w:
-                        held[*key, w] = held.get((*key, w), 0) + n
-            if len(held) > GATHER:
-                yield out()
-        yield out()
+        def rows(lang: str | None) -> pa.RecordBatch:
+            high, low, n = merged(held.pop(lang))
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(high), pa.string()), pa.array(high), pa.array(low), pa.array(n)], names=["lang", "high", "low", "n"])
 
-    schema = ", ".join([*(f"`{c}` string" for c in others), "word string", "n long"])
-    return docs.select("text", *others).mapInArrow(task, schema).groupBy(*others, "word").agg(F.sum("n").alias("n"))
+        for batch in common.slices(batches, "text"):
+            langs = batch.column(1)
+            for lang in pc.unique(langs).to_pylist():
+                code, words, _ = words_of(batch.column(0).filter(pc.is_null(langs) if lang is None else pc.fill_null(pc.equal(langs, lang), False)))
+                high, low, count = grams(words)
+                held.setdefault(lang, []).append(merged([(high, low, np.repeat(np.bincount(code, minlength=len(words)), count))]))
+                if sum(len(x[0]) for x in held[lang]) > GATHER // 2:
+                    held[lang] = [merged(held[lang])]
+                    if len(held[lang][0][0]) > GATHER // 4:
+                        yield rows(lang)
+        for lang in list(held):
+            yield rows(lang)
+
+    source = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null")
+    return common.scratch(source.mapInArrow(task, "lang string, high long, low long, n long").groupBy("lang", "high", "low").agg(F.sum("n").alias("n")), "grams")
 
 
 def _context(high: Column, low: Column) -> tuple[Column, Column]:
@@ -139,19 +138,12 @@ def _suffix(k: int) -> tuple[Column, Column]:
     return high.alias("high"), F.col("low").bitwiseAND(F.lit((1 << CHAR_BITS * min(k, 3)) - 1)).alias("low")
 
 
-def train(docs: DataFrame) -> Model:
-    """Models from the rows of ``docs`` (text, lang), all of which count."""
-    words = common.scratch(_words(docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang")), "lang"), "taught-words")
-    languages = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            high, low, count = grams(batch.column("word").to_pylist())
-            row = np.repeat(np.arange(batch.num_rows), count)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row)), pa.array(high), pa.array(low), batch.column("n").take(pa.array(row))], names=["lang", "high", "low", "n"])
-
-    g = words.mapInArrow(task, "lang string, high long, low long, n long").groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
-    g = common.scratch(g, "grams")
+def train(counts: DataFrame) -> Model:
+    """Models from the counts of ``_grams``; those under null are not looked at."""
+    g = counts.where("lang is not null")
+    languages = [r.lang for r in g.select("lang").distinct().orderBy("lang").collect()]
+    if not languages:
+        return Model([])
     orders: list = [None] * ORDER
     for k in range(ORDER - 1, -1, -1):
         discount = g.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("double")).alias("n1"), F.sum((F.col("n") == 2).cast("double")).alias("n2"))
@@ -166,7 +158,7 @@ def train(docs: DataFrame) -> Model:
         orders[k] = gram, back
         if k:
             g = common.scratch(g.groupBy("lang", *_suffix(k)).agg(F.count("*").alias("n")), "grams")
-    return Model(languages, orders if languages else [])
+    return Model(languages, orders)
 
 
 def _by_language(table: DataFrame, languages: list[str], name: str) -> DataFrame:
@@ -175,18 +167,10 @@ def _by_language(table: DataFrame, languages: list[str], name: str) -> DataFrame
     return found.select("high", "low", F.array(*(F.try_element_at("m", F.lit(x)) for x in languages)).alias(name))
 
 
-def word_costs(words: DataFrame, model: Model) -> DataFrame:
-    """(h, symbols, cost): for each distinct word its hash, symbols and nats under each language."""
+def gram_costs(needed_grams: DataFrame, model: Model) -> DataFrame:
+    """(high, low, cost): nats of each distinct 5-gram under each language."""
     n = len(model.languages)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spelled = batch.column("word").to_pylist()
-            high, low, count = grams(spelled)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word_hash(spelled), count)), pa.array(high), pa.array(low)], names=["h", "high", "low"])
-
-    each = common.scratch(words.select("word").mapInArrow(task, "h long, high long, low long"), "word-grams")
-    needed = [common.scratch(each.select("high", "low").distinct(), "needed-grams")]
+    needed = [needed_grams]
     for k in range(ORDER - 1, 0, -1):
         needed.insert(0, needed[0].select(*_suffix(k)).distinct())
     lower = None
@@ -204,68 +188,67 @@ def word_costs(words: DataFrame, model: Model) -> DataFrame:
         at = lambda c, i, otherwise: F.coalesce(F.get(c, F.lit(i)), F.lit(otherwise))
         q = [at("p", i, 0.0) + at("b", i, 1.0) * F.get(below, F.lit(i)) for i in range(n)]
         lower = own.select("high", "low", F.array(*q).alias("q"))
-    cost = F.array(*(F.sum(-F.log(F.get("q", F.lit(i)))) for i in range(n)))
-    return common.scratch(each.join(lower, ["high", "low"]).groupBy("h").agg(F.count("*").alias("symbols"), cost.alias("cost")), "word-costs")
+    return lower.select("high", "low", F.transform("q", lambda x: -F.log(x)).alias("cost"))
 
 
-def price(model: Model, docs: DataFrame) -> Model:
-    """``model`` with the costs of all words of ``docs`` (which has a text column)."""
+def price(model: Model, counts: DataFrame) -> Model:
+    """``model`` with the costs of all 5-grams of ``counts``."""
     n = len(model.languages)
-    words = common.scratch(_words(docs), "words")
-    model.costs = costs = word_costs(words, model)
-    most = max(1, HELD // (n + 2))
-    held = words.orderBy(F.desc("n"), "word").limit(most).select(F.xxhash64("word").alias("h"))
-    model.whole = words.count() <= most
-    some = (costs if model.whole else costs.join(held, "h", "left_semi")).toArrow()  # at most HELD numbers
+    often = common.scratch(counts.groupBy("high", "low").agg(F.sum("n").alias("n")), "needed-grams")
+    model.costs = costs = common.scratch(gram_costs(often.select("high", "low"), model), "gram-costs")
+    most = max(1, HELD // (n + 1))
+    model.whole = often.count() <= most
+    some = costs if model.whole else costs.join(often.orderBy(F.desc("n"), "high", "low").limit(most).select("high", "low"), ["high", "low"], "left_semi")
+    some = some.select(F.xxhash64("high", "low").alias("h"), "cost").toArrow()  # at most HELD numbers
     keys = some.column("h").to_numpy()
     order = np.argsort(keys)
-    values = np.column_stack([some.column("symbols").to_numpy(), some.column("cost").combine_chunks().flatten().to_numpy().reshape(len(keys), n)])[order] if len(keys) else np.zeros((0, n + 1))
-    model.frequent = docs.sparkSession.sparkContext.broadcast((keys[order], values))
+    values = some.column("cost").combine_chunks().flatten().to_numpy().reshape(len(keys), n)[order]
+    model.frequent = counts.sparkSession.sparkContext.broadcast((keys[order], values))
     return model
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, _symbols, _cost): the row of ``docs`` (which has a text column), its symbols, and its cross-entropy under each language, null without letters. The words of ``docs`` are priced."""
+    """(row, _symbols, _cost): the row of ``docs`` (which has a text column), its symbols, and its cross-entropy under each language, null without letters. The 5-grams of ``docs`` are priced."""
     n, shared, costs = len(model.languages), model.frequent, model.costs
     rows = docs.select(F.struct("*").alias("row"), "text")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, _known long, _sum array<double>, _rest array<struct<h: long, n: long>>"
-    rest_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, _symbols long, _sum array<double>, _rest array<struct<high: long, low: long>>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
         for batch in common.slices(batches, "text"):
             code, words, offsets = words_of(batch.column("text"))
-            h = word_hash(words)
+            high, low, count = grams(words)
+            h = common.hash_pairs(high, low)
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
             known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            known[[k for k, w in enumerate(words) if not w]] = True  # between two separators; no symbol
-            own = np.zeros((len(words), n + 1))
-            full = np.fromiter(map(bool, words), bool, len(words)) & known
-            own[full] = values[at[full]]
+            sums = np.zeros((len(h) + 1, n))
+            np.cumsum(np.where(known[:, None], values[at], 0.0) if len(keys) else sums[1:], axis=0, out=sums[1:])
+            ends = np.cumsum(count)
+            own = np.column_stack([sums[ends] - sums[ends - count], count])
             total = np.concatenate([np.zeros((1, n + 1)), np.cumsum(own[code], axis=0)])[offsets]
             total = total[1:] - total[:-1]
-            unknown = ~known[code]
-            before = np.concatenate([[0], np.cumsum(unknown)])[offsets].astype(np.int32)
-            rest = pa.StructArray.from_arrays([pa.array(h[code[unknown]]), pa.array(np.ones(int(unknown.sum()), np.int64))], names=["h", "n"])
-            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * n), pa.array(total[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(total[:, 0]).astype(np.int64)), sums, pa.ListArray.from_arrays(pa.array(before), rest).cast(rest_type)], names=["row", "_known", "_sum", "_rest"])
+            other = np.flatnonzero(~known)
+            per_word = np.diff(np.searchsorted(other, np.concatenate([[0], ends])))
+            place = common.ragged((np.cumsum(per_word) - per_word)[code], per_word[code])
+            cuts = np.concatenate([[0], np.cumsum(per_word[code])])[offsets].astype(np.int32)
+            rest = pa.StructArray.from_arrays([pa.array(high[other][place]), pa.array(low[other][place])], names=["high", "low"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * n), pa.array(total[:, :-1].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(total[:, -1]).astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(cuts), rest)], names=["row", "_symbols", "_sum", "_rest"])
 
     made = rows.mapInArrow(task, schema)
-    ratio = lambda sums, symbols: F.when(symbols > 0, F.transform(sums, lambda x: x / symbols))
-    if model.whole:  # no word lies beyond the arrays
-        return made.select("row", F.col("_known").alias("_symbols"), ratio(F.col("_sum"), F.col("_known")).alias("_cost"))
+    ratio = lambda sums: F.when(F.col("_symbols") > 0, F.transform(sums, lambda x: x / F.col("_symbols"))).alias("_cost")
+    if model.whole:  # no 5-gram lies beyond the arrays
+        return made.select("row", "_symbols", ratio("_sum"))
     made = common.scratch(made.withColumn("_key", F.xxhash64("row.text")), "scored")
     tail = made.where(F.size("_rest") > 0).groupBy("_key").agg(F.first("_rest").alias("rest")).select("_key", F.explode("rest").alias("r")).select("_key", "r.*")
-    tail = tail.groupBy("_key", "h").agg(F.sum("n").alias("n")).join(costs, "h")
-    tail = tail.groupBy("_key").agg(F.sum(F.col("n") * F.col("symbols")).alias("more"), F.array(*(F.sum(F.col("n") * F.get("cost", F.lit(i))) for i in range(n))).alias("cost"))
-    both = made.join(tail, "_key", "left")
-    symbols = F.col("_known") + F.coalesce("more", F.lit(0))
-    sums = F.when(F.col("cost").isNull(), F.col("_sum")).otherwise(F.zip_with("_sum", "cost", lambda a, b: a + b))
-    return both.select("row", symbols.alias("_symbols"), ratio(sums, symbols).alias("_cost"))
+    tail = tail.groupBy("_key", "high", "low").agg(F.count("*").alias("n")).join(costs, ["high", "low"])
+    tail = tail.groupBy("_key").agg(F.array(*(F.sum(F.col("n") * F.get("cost", F.lit(i))) for i in range(n))).alias("more"))
+    both = made.join(tail, "_key", "left").withColumn("_all", F.when(F.col("more").isNull(), F.col("_sum")).otherwise(F.zip_with("_sum", "more", lambda a, b: a + b)))
+    return both.select("row", "_symbols", ratio("_all"))
 
 
 def calibrate(model: Model, docs: DataFrame) -> Model:
-    """``model`` with the middle and the upper spread of the cross-entropy of the rows of ``docs`` (text, lang), whose words are priced, under their own language.
+    """``model`` with the middle and the upper spread of the cross-entropy of the rows of ``docs`` (text, lang), whose 5-grams are priced, under their own language.
 
     The spread s(n) of texts of n symbols is s(n)^2 = a + b / n: texts differ by
     their matter (a) and by chance at their length (b). Both come from 99th
@@ -293,7 +276,7 @@ def calibrate(model: Model, docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, factor: float = 3.0) -> DataFrame:
-    """(row, lang_pred, score, cross_entropy, excess, rejected): ``row`` is the row of ``docs``, of which only the text is looked at and whose words are priced; ``excess`` is the cross-entropy above the middle in spreads, and beyond ``factor`` a text is rejected."""
+    """(row, lang_pred, score, cross_entropy, excess, rejected): ``row`` is the row of ``docs``, of which only the text is looked at and whose 5-grams are priced; ``excess`` is the cross-entropy above the middle in spreads, and beyond ``factor`` a text is rejected."""
     n = len(model.languages)
     if not n:
         none = F.lit(None).cast("double")
@@ -324,12 +307,14 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame) -> Model:
-    """Models of (text, lang, fold) that price all words of ``docs``: learnt from folds 2 to 4 and calibrated on fold 1; where folds 2 to 4 give no language, learnt from fold 1 and not calibrated."""
-    model = train(docs.where("fold >= 2"))
+    """Models of (text, lang, fold) that price all 5-grams of ``docs``: learnt from folds 2 to 4 and calibrated on fold 1; where folds 2 to 4 give no language, learnt from fold 1 and not calibrated."""
+    counts = _grams(docs.select("text", F.when(F.col("fold") >= 2, F.col("lang")).alias("lang")))
+    model = train(counts)
     if model.languages:
-        return calibrate(price(model, docs), docs.where("fold = 1 and lang is not null"))
-    model = train(docs.where("fold = 1"))
-    return price(model, docs) if model.languages else model
+        return calibrate(price(model, counts), docs.where("fold = 1 and lang is not null"))
+    counts = _grams(docs.select("text", F.when(F.col("fold") == 1, F.col("lang")).alias("lang")))
+    model = train(counts)
+    return price(model, counts) if model.languages else model
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -138,21 +138,6 @@ def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
-def _pair_hash(c: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of two bigints."""
-    u = np.uint64
-    turn = lambda x, k: (x << u(k)) | (x >> u(64 - k))
-    p1, p2, p3, p4, p5 = (u(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = np.full(len(c), 42, u)
-    for key in (c, t):
-        h = (h + u(8) + p5) ^ (turn(key.view(u) * p2, 31) * p1)
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> u(33))) * p2
-        h = (h ^ (h >> u(29))) * p3
-        h = h ^ (h >> u(32))
-    return h.view(np.int64)
-
-
 def _pairs(private: DataFrame) -> DataFrame:
     """(c, t, df_ct): documents with both a class of entities and a word."""
 
@@ -239,7 +224,7 @@ def _beside(private: DataFrame, risky: DataFrame) -> DataFrame:
                 t = np.fromiter(map(_hash, outside), np.int64, len(outside))
                 places, rows = list(outside.values()), []
                 for c in cs:
-                    for k in np.flatnonzero(_in(shared.value, _pair_hash(np.full(len(t), c), t))).tolist():
+                    for k in np.flatnonzero(_in(shared.value, common.hash_pairs(np.full(len(t), c), t))).tolist():
                         rows.append((key.as_py(), int(c), int(t[k]), places[k]))
                 yield _places_of(rows)
 
