@@ -17,7 +17,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, media, packing, pieces, pii, secrets, simhash, spans, suffixes, warc
+from tidemark.llm import common, langid, media, packing, pieces, pii, secrets, simhash, spans, suffixes, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -363,9 +363,9 @@ def test_costs_are_those_of_plain_kneser_ney(spark, docs, monkeypatch, held):
     taught = [(t, lang) for _, t, lang, *_ in corpus() if lang]
     plain = {lang: kneser_ney([t or "" for t, x in taught if x == lang]) for lang in ("de", "en")}
     texts = ["the ring thin", "schön über nicht", "漢字 mixed Ünfug", "x" * 500, "unseen words qqq unseen", None, "12", "the the ring"]
-    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "n long, text string").withColumns({c: F.lit(1) for c in ("_cost", "_symbols", "_rest", "row", "h", "cost", "lang")})
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "n long, text string").withColumns({c: F.lit(1) for c in ("_cost", "_symbols", "_rest", "_sum", "_key", "_all", "row", "high", "more", "cost", "lang")})
     frame = frame.unionByName(frame.limit(5))
-    model = langid.price(langid.train(docs.where("lang is not null")), frame)
+    model = langid.price(langid.train(langid._grams(docs.where("lang is not null"))), langid._grams(frame.select("text", F.lit(None).alias("lang"))))
     assert model.languages == ["de", "en"]
     got = rows(langid._scored(frame, model))
     assert len(got) == 13
@@ -513,7 +513,7 @@ def test_many_entities_take_one_sweep():
 def test_hashes_are_those_of_spark(spark):
     frame = spark.createDataFrame([("", 0, -5), ("é long text " * 9, 2**60, 7)], "s string, a long, b long")
     for r in frame.select("*", F.xxhash64("s").alias("h"), F.xxhash64("a", "b").alias("p")).collect():
-        assert pii._hash(r.s) == r.h and pii._pair_hash(np.array([r.a]), np.array([r.b]))[0] == r.p
+        assert pii._hash(r.s) == r.h and common.hash_pairs(np.array([r.a]), np.array([r.b]))[0] == r.p
 
 
 def test_media_round_trip(spark, docs, nothing):
