@@ -38,9 +38,9 @@ LETTER, SIGN = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[\x00-@\[-`{-\x7f]"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTED)}
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Tasks whose leftovers one task merges.
-FAN_IN = 32
+FAN_IN = 8
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, window long, offset long"
 
 
@@ -85,7 +85,11 @@ class WordEncoder:
         single = pc.match_substring_regex(parts.dictionary, f"^ ?{LETTER}+$").to_numpy(zero_copy_only=False).astype(bool)
         ids: list = [None] * len(spelled)
         tokenize = self.tokenizer.model.tokenize
-        for k in np.flatnonzero(single).tolist():
+        ascii_ = pc.string_is_ascii(parts.dictionary).to_numpy(zero_copy_only=False).astype(bool)
+        signs = pc.replace_substring(parts.dictionary, " ", chr(BYTE_SIGNS[32])).to_pylist()  # all that changes in ASCII letters
+        for k in np.flatnonzero(single & ascii_).tolist():
+            ids[k] = [t.id for t in tokenize(signs[k])]
+        for k in np.flatnonzero(single & ~ascii_).tolist():
             ids[k] = [t.id for t in tokenize(spelled[k].encode().decode("latin-1").translate(BYTE_SIGNS))]
         other = np.flatnonzero(~single).tolist()
         for k, x in zip(other, self._plain([spelled[k] for k in other])):
