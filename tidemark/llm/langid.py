@@ -44,9 +44,9 @@ EDGE, SYMBOLS = 1, 0x110000 + 2
 MASK = (1 << CHAR_BITS) - 1
 UNDETERMINED = "und"
 #: n-grams that a task gathers before it sends their counts.
-GATHER = 3_000_000
+GATHER = 1_000_000
 #: Numbers (a hash and a cost for each language) in the broadcast arrays of frequent 5-grams.
-HELD = 4 << 20
+HELD = 2 << 20
 #: Upper spread of the cross-entropy, as a share of its middle, that is always allowed for.
 LEAST_SPREAD = 0.02
 #: Calibration rows of a band of lengths from which it counts.
@@ -109,7 +109,7 @@ def _grams(docs: DataFrame) -> DataFrame:
             high, low, n = merged(held.pop(lang))
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(high), pa.string()), pa.array(high), pa.array(low), pa.array(n)], names=["lang", "high", "low", "n"])
 
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.SLICE_BYTES // 2):
             langs = batch.column(1)
             for lang in pc.unique(langs).to_pylist():
                 code, words, _ = words_of(batch.column(0).filter(pc.is_null(langs) if lang is None else pc.fill_null(pc.equal(langs, lang), False)))
@@ -215,7 +215,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.SLICE_BYTES // 2):
             code, words, offsets = words_of(batch.column("text"))
             high, low, count = grams(words)
             h = common.hash_pairs(high, low)
