@@ -44,7 +44,7 @@ EDGE, SYMBOLS = 1, 0x110000 + 2
 MASK = (1 << CHAR_BITS) - 1
 UNDETERMINED = "und"
 #: n-grams that a task gathers before it sends their counts.
-GATHER = 1_000_000
+GATHER = 600_000
 #: Numbers (a hash and a cost for each language) in the broadcast arrays of frequent 5-grams.
 HELD = 2 << 20
 #: Upper spread of the cross-entropy, as a share of its middle, that is always allowed for.
@@ -207,11 +207,12 @@ def price(model: Model, counts: DataFrame) -> Model:
     return model
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, _symbols, _cost): the row of ``docs`` (which has a text column), its symbols, and its cross-entropy under each language, null without letters. The 5-grams of ``docs`` are priced."""
+def _scored(docs: DataFrame, model: Model, texts: bool = True) -> DataFrame:
+    """(row, text, _symbols, _cost): the other columns of ``docs`` as a struct, its text column, its symbols, and its cross-entropy under each language, null without letters. The 5-grams of ``docs`` are priced; without ``texts`` the texts stay behind."""
     n, shared, costs = len(model.languages), model.frequent, model.costs
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, _symbols long, _sum array<double>, _rest array<struct<high: long, low: long>>"
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
+    rows = docs.select(F.struct(*others).alias("row"), "text", F.xxhash64("text").alias("_key"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, _key long, _symbols long, _sum array<double>, _rest array<struct<high: long, low: long>>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
@@ -233,18 +234,19 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             cuts = np.concatenate([[0], np.cumsum(per_word[code])])[offsets].astype(np.int32)
             rest = pa.StructArray.from_arrays([pa.array(high[other][place]), pa.array(low[other][place])], names=["high", "low"])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32) * n), pa.array(total[:, :-1].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.rint(total[:, -1]).astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(cuts), rest)], names=["row", "_symbols", "_sum", "_rest"])
+            text = batch.column("text") if texts else pa.nulls(batch.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), text, batch.column("_key"), pa.array(np.rint(total[:, -1]).astype(np.int64)), lists, pa.ListArray.from_arrays(pa.array(cuts), rest)], names=["row", "text", "_key", "_symbols", "_sum", "_rest"])
 
     made = rows.mapInArrow(task, schema)
     ratio = lambda sums: F.when(F.col("_symbols") > 0, F.transform(sums, lambda x: x / F.col("_symbols"))).alias("_cost")
     if model.whole:  # no 5-gram lies beyond the arrays
-        return made.select("row", "_symbols", ratio("_sum"))
-    made = common.scratch(made.withColumn("_key", F.xxhash64("row.text")), "scored")
+        return made.select("row", "text", "_symbols", ratio("_sum"))
+    made = common.scratch(made, "scored")
     tail = made.where(F.size("_rest") > 0).groupBy("_key").agg(F.first("_rest").alias("rest")).select("_key", F.explode("rest").alias("r")).select("_key", "r.*")
     tail = tail.groupBy("_key", "high", "low").agg(F.count("*").alias("n")).join(costs, ["high", "low"])
     tail = tail.groupBy("_key").agg(F.array(*(F.sum(F.col("n") * F.get("cost", F.lit(i))) for i in range(n))).alias("more"))
     both = made.join(tail, "_key", "left").withColumn("_all", F.when(F.col("more").isNull(), F.col("_sum")).otherwise(F.zip_with("_sum", "more", lambda a, b: a + b)))
-    return both.select("row", "_symbols", ratio("_all"))
+    return both.select("row", "text", "_symbols", ratio("_all"))
 
 
 def calibrate(model: Model, docs: DataFrame) -> Model:
@@ -257,7 +259,7 @@ def calibrate(model: Model, docs: DataFrame) -> Model:
     them. A spread is at least ``LEAST_SPREAD`` of the middle.
     """
     at = F.array_position(F.array(*map(F.lit, model.languages)), F.col("row.lang")) - 1
-    one = _scored(docs.select("text", F.col("lang").cast("string").alias("lang")), model).where("_cost is not null")
+    one = _scored(docs.select("text", F.col("lang").cast("string").alias("lang")), model, texts=False).where("_cost is not null")
     one = common.scratch(one.select("row.lang", F.col("_symbols").alias("n"), F.get("_cost", at.cast("int")).alias("x")).where("x is not null"), "calibration")
     middle = one.groupBy("lang").agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("middle"))  # of symbols, so that long texts weigh as they are
     above = one.join(F.broadcast(middle), "lang").withColumn("over", F.col("x") - F.col("middle"))
@@ -275,13 +277,13 @@ def calibrate(model: Model, docs: DataFrame) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, factor: float = 3.0) -> DataFrame:
-    """(row, lang_pred, score, cross_entropy, excess, rejected): ``row`` is the row of ``docs``, of which only the text is looked at and whose 5-grams are priced; ``excess`` is the cross-entropy above the middle in spreads, and beyond ``factor`` a text is rejected."""
+def predict(docs: DataFrame, model: Model, factor: float = 3.0, texts: bool = True) -> DataFrame:
+    """(row, lang_pred, score, cross_entropy, excess, rejected): ``row`` is the row of ``docs`` (its text null without ``texts``), of which only the text is looked at and whose 5-grams are priced; ``excess`` is the cross-entropy above the middle in spreads, and beyond ``factor`` a text is rejected."""
     n = len(model.languages)
     if not n:
         none = F.lit(None).cast("double")
         return docs.select(F.struct("*").alias("row"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("cross_entropy"), none.alias("excess"), F.lit(True).alias("rejected"))
-    scored = _scored(docs, model)
+    scored = _scored(docs, model, texts)
     least = F.array_min("_cost")
     k = (F.array_position("_cost", least) - 1).cast("int")
     # the share of the best language if every language has a likelihood with the square root of the text's symbols
@@ -291,8 +293,9 @@ def predict(docs: DataFrame, model: Model, factor: float = 3.0) -> DataFrame:
     width = F.sqrt(get([a for a, _ in spread]) + get([b for _, b in spread]) / F.col("_symbols"))
     excess = (least - get(middle)) / width
     none = F.col("_cost").isNull()
+    row = F.struct(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
     return scored.select(
-        "row",
+        row.alias("row"),
         F.when(none, UNDETERMINED).otherwise(F.get(F.array(*map(F.lit, model.languages)), k)).alias("lang_pred"),
         F.when(none, 0.0).otherwise(1 / odds).alias("score"),
         least.alias("cross_entropy"),
@@ -320,5 +323,5 @@ def learn(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, excess, rejected) for every row."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold(id_col).alias("fold"))
-    made = predict(plain.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")), learn(plain))
+    made = predict(plain.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")), learn(plain), texts=False)
     return made.select("row.doc_id", "row.held_out", "lang_pred", "score", "cross_entropy", "excess", "rejected")
