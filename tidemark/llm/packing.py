@@ -135,7 +135,10 @@ class WordEncoder:
         first = np.zeros(len(words), bool)
         first[offsets[:-1]] = True
         code = words.indices.to_numpy().astype(np.int64) * 2 + first
-        used, code = np.unique(code, return_inverse=True)
+        used = np.flatnonzero(np.bincount(code))
+        place = np.zeros(2 * len(words.dictionary), np.int64)
+        place[used] = np.arange(len(used))
+        code = place[code]
         spelled = words.dictionary.to_pylist()
         number = self._numbers([spelled[c >> 1] if c & 1 else " " + spelled[c >> 1] for c in used.tolist()])[code]
         length = self.lengths[number]
