@@ -370,7 +370,7 @@ def test_costs_are_those_of_plain_kneser_ney(spark, docs, monkeypatch, held):
     got = rows(langid._scored(frame, model))
     assert len(got) == 13
     for r in got:
-        words = re.findall(r"[^\W\d_]+", (r["row"]["text"] or "").lower())
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
         n = sum(len(w) + 1 for w in words)
         assert r["_symbols"] == n and (r["_cost"] is None) == (n == 0)
         if n:
