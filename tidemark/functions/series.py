@@ -146,3 +146,40 @@ def ewm(df: DataFrame, key: str, at: str, value: str, span: float | None = None,
         return pd.DataFrame({"ewm_mean": e.mean(), "ewm_std": e.std()})
 
     return recursive(df, key, at, value, {"ewm_mean": "double", "ewm_std": "double"}, step)
+
+
+def back_fill(value: Column | str, w: WindowSpec) -> Column:
+    """The next known value, however far ahead: the one fill that looks forward, for the warm-up of a series."""
+    return F.first(column(value), True).over(w.rowsBetween(0, Window.unboundedFollowing))
+
+
+def quantile_at(values: Column, fraction: float) -> Column:
+    """The element of a sorted array at floor(fraction x n), the last one at most."""
+    at = F.least(F.floor(F.lit(fraction) * F.size(values)), F.size(values) - 1).cast("int")
+    return F.get(values, at)
+
+
+def whole_sample_clip(df: DataFrame, by: str, value: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
+    """``df`` with ``value`` clipped to its quantiles over the whole of each series. Not causal: for selectors that are fitted on one sample."""
+    edges = df.groupBy(by).agg(F.percentile(value, F.lit(lower)).alias("_low"), F.percentile(value, F.lit(upper)).alias("_high"))
+    clipped = F.greatest(F.least(F.col(value), F.col("_high")), F.col("_low"))
+    return df.join(edges, by).withColumn(value, F.when(F.col(value).isNotNull(), clipped)).drop("_low", "_high")
+
+
+def safe_ratio(a: Column | str, b: Column | str, otherwise: float = 0.0) -> Column:
+    """a / b, or ``otherwise`` where that is no number."""
+    return F.coalesce(known(F.try_divide(column(a), column(b))), F.lit(otherwise))
+
+
+def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, known): how many rows know each column, in one pass."""
+    one = df.agg(*(F.count(known(c)).alias(c) for c in columns))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("known")) for c in columns))).alias("_c")).select("_c.*")
+
+
+def covered(df: DataFrame, columns: list[str], least: int, most: int | None = None) -> list[str]:
+    """The columns known in ``least`` rows or more (all of them if that leaves fewer than two), the ``most`` best known at most."""
+    found = {r["name"]: r["known"] for r in coverage(df, columns).collect()}  # a row for each column
+    kept = [c for c in columns if found[c] >= least]
+    kept = kept if len(kept) >= 2 else list(columns)
+    return sorted(kept, key=lambda c: (-found[c], c))[:most]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import asof, evaluation, models, timeseries, trading
+    from . import asof, evaluation, governance, models, timeseries, trading
 
-    return [asof, timeseries, evaluation, trading, models]
+    return [asof, timeseries, evaluation, trading, models, governance]
 
 
 def queries() -> dict:

@@ -176,16 +176,17 @@ def bucketed_range_join(spark, sf_dir):
     return joins.range_join_days(o, _scenarios(spark), "day", "a", "b").select("o_orderkey", "scenario")
 
 
-FOLD_SQL = "SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS a, l_shipdate::DATE + 30 AS b, year(l_shipdate) AS fold FROM lineitem WHERE l_suppkey <= 20"
+FOLD_SQL = "SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS a, l_shipdate::DATE + 30 AS b, year(l_shipdate) AS fold FROM lineitem"
 
 
 @query(f"""WITH x AS ({FOLD_SQL}), s AS (SELECT fold, min(a) AS f, max(b) + 5 AS t FROM x GROUP BY fold)
  SELECT s.fold, count(*) AS kept FROM s, x WHERE x.fold <> s.fold AND NOT (x.a <= s.t AND x.b >= s.f) GROUP BY s.fold""")
 def purge_anti_join(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select(F.to_date("l_shipdate").alias("a"), F.date_add(F.to_date("l_shipdate"), 30).alias("b"), F.year("l_shipdate").alias("own"))
-    years = x.select(F.col("own").alias("fold")).distinct()
-    train = x.join(years, F.col("own") != F.col("fold"))  # a row for each fold that it trains; folds are few
-    return joins.purge(train, x.withColumn("fold", F.col("own")), "a", "b", "fold", 5).groupBy("fold").agg(F.count("*").alias("kept"))
+    x = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("a"), F.date_add(F.to_date("l_shipdate"), 30).alias("b"), F.year("l_shipdate").alias("own"))
+    days = x.groupBy("own", "a", "b").agg(F.count("*").alias("n"))  # rows of one span are purged together
+    years = days.groupBy().agg(F.collect_set("own").alias("folds"))
+    train = days.crossJoin(F.broadcast(years)).withColumn("fold", F.explode("folds")).where("own <> fold")  # one row of years; a row for each day and fold that it trains
+    return joins.purge(train, days.withColumn("fold", F.col("own")), "a", "b", "fold", 5).groupBy("fold").agg(F.sum("n").alias("kept"))
 
 
 @query("""SELECT user_id, day, count(*) AS n FROM (SELECT user_id, ts::DATE AS day, min(event_id) AS first_id FROM events c WHERE event_type = 'click'
@@ -223,11 +224,14 @@ def ewm_volatility(spark, sf_dir):
 
 @query(f"""WITH x AS (SELECT key, month, total, row_number() OVER (PARTITION BY key ORDER BY month) AS bar, stddev_samp(ret) OVER {LAST12} AS vol FROM ({RETURNS_SQL})), y AS (
  SELECT a.key, a.month, arg_min(CASE WHEN b.total >= a.total * (1 + a.vol) THEN 1 WHEN b.total <= a.total * (1 - a.vol) THEN -1 END, b.month) FILTER (b.total >= a.total * (1 + a.vol) OR b.total <= a.total * (1 - a.vol)) AS hit FROM x a LEFT JOIN x b ON a.key = b.key AND b.bar > a.bar AND b.bar <= a.bar + 6
- WHERE a.vol > 0 GROUP BY 1, 2) SELECT key, month, coalesce(hit, 0)::INT AS label FROM y""")
+ WHERE a.vol > 0 GROUP BY 1, 2),
+ z AS (SELECT y.key, y.month, coalesce(y.hit, 0)::INT AS label, min(b.month) FILTER ((y.hit = 1 AND b.total >= a.total * (1 + a.vol)) OR (y.hit = -1 AND b.total <= a.total * (1 - a.vol))) AS touched, max(b.month) AS last_month
+  FROM y JOIN x a ON a.key = y.key AND a.month = y.month JOIN x b ON b.key = a.key AND b.bar > a.bar AND b.bar <= a.bar + 6 GROUP BY 1, 2, 3)
+ SELECT z.key, z.month, z.label, coalesce(touched, last_month) AS t1, round(e.total / s.total - 1, 7) AS ret FROM z JOIN x s ON s.key = z.key AND s.month = z.month JOIN x e ON e.key = z.key AND e.month = coalesce(touched, last_month)""")
 def triple_barrier(spark, sf_dir):
     w = timeline()
     x = returns(spark, sf_dir).withColumn("vol", series.rolling(F.stddev_samp, "ret", w, 12, 1))
-    return store.triple_barrier(x, w, "total", "vol", 6).where("vol > 0").select("key", "month", "label")
+    return store.triple_barrier(x, w, "month", "total", "vol", 6).where("vol > 0").select("key", "month", "label", "t1", r("ret", "ret"))
 
 
 @query("SELECT window_start, event_type, count(*) AS n, sum(value::DECIMAL(18, 4))::DOUBLE AS total FROM (SELECT date_trunc('day', ts) AS window_start, * FROM events) GROUP BY 1, 2")

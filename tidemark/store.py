@@ -92,9 +92,12 @@ def ingest(ledger: DataFrame, rows: DataFrame, contracts: DataFrame) -> tuple[Da
     return append(ledger, good), checked.where(F.size("violations") > 0).select(*rows.columns, "violations")
 
 
-def triple_barrier(prices: DataFrame, w, price: str, vol: str, most: int, up: float = 1.0, down: float = 1.0) -> DataFrame:
-    """``prices`` with label: +1 or -1 for the barrier (price times 1 ± k vol) that is touched first in the next ``most`` rows, else 0."""
-    ahead = F.collect_list(price).over(w.rowsBetween(1, most))
-    hit = lambda x: F.when(x >= F.col(price) * (1 + up * F.col(vol)), 1).when(x <= F.col(price) * (1 - down * F.col(vol)), -1)
-    touched = F.filter(F.transform(ahead, hit), lambda x: x.isNotNull())
-    return prices.withColumn("label", F.coalesce(F.get(touched, F.lit(0)), F.lit(0)))
+def triple_barrier(prices: DataFrame, w, at: str, price: str, vol: str, most: int, up: float = 1.0, down: float = 1.0) -> DataFrame:
+    """``prices`` with label, t1 and ret: +1 or -1 for the barrier (price times 1 ± k vol) that is touched first in the next ``most`` rows, at t1, else 0 at the last of them; ret is the change of price until t1. A row without a row after it has no label and goes."""
+    ahead = F.collect_list(F.struct(F.col(at).alias("at"), F.col(price).alias("price"))).over(w.rowsBetween(1, most))
+    side = lambda x: F.when(x["price"] >= F.col(price) * (1 + up * F.col(vol)), 1).when(x["price"] <= F.col(price) * (1 - down * F.col(vol)), -1)
+    rows = prices.withColumn("_ahead", ahead).where(F.size("_ahead") > 0)
+    rows = rows.withColumn("_hit", F.get(F.filter("_ahead", lambda x: side(x).isNotNull()), F.lit(0)))
+    end = F.coalesce("_hit", F.element_at("_ahead", -1))
+    label = F.coalesce(side(F.col("_hit")), F.lit(0))
+    return rows.withColumns({"label": label, "t1": end["at"], "ret": end["price"] / F.col(price) - 1}).drop("_ahead", "_hit")
