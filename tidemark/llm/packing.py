@@ -38,7 +38,7 @@ LETTER, SIGN = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[\x00-@\[-`{-\x7f]"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTED)}
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Tasks whose leftovers one task merges.
 FAN_IN = 8
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, window long, offset long"
@@ -81,22 +81,19 @@ class WordEncoder:
         cut = pc.replace_substring_regex(cut, f"\x1e([!-~]*\n)({LETTER})", "\x1e\\1\x1e\\2")
         split = pc.split_pattern(cut, "\x1e")
         parts = pc.dictionary_encode(split.values)
-        spelled = parts.dictionary.to_pylist()
-        single = pc.match_substring_regex(parts.dictionary, f"^ ?{LETTER}+$").to_numpy(zero_copy_only=False).astype(bool)
-        ids: list = [None] * len(spelled)
+        single = pc.match_substring_regex(parts.dictionary, f"^ ?{LETTER}+$")
+        plain = pc.and_(single, pc.string_is_ascii(parts.dictionary))
+        lettered = pc.and_not(single, plain)
         tokenize = self.tokenizer.model.tokenize
-        ascii_ = pc.string_is_ascii(parts.dictionary).to_numpy(zero_copy_only=False).astype(bool)
-        signs = pc.replace_substring(parts.dictionary, " ", chr(BYTE_SIGNS[32])).to_pylist()  # all that changes in ASCII letters
-        for k in np.flatnonzero(single & ascii_).tolist():
-            ids[k] = [t.id for t in tokenize(signs[k])]
-        for k in np.flatnonzero(single & ~ascii_).tolist():
-            ids[k] = [t.id for t in tokenize(spelled[k].encode().decode("latin-1").translate(BYTE_SIGNS))]
-        other = np.flatnonzero(~single).tolist()
-        for k, x in zip(other, self._plain([spelled[k] for k in other])):
-            ids[k] = x
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
-        code = parts.indices.to_numpy()
+        # a blank is all that is spelled another way in ASCII letters
+        tokens = [tokenize(x) for x in pc.replace_substring(parts.dictionary.filter(plain), " ", chr(BYTE_SIGNS[32])).to_pylist()]
+        tokens += [tokenize(x.encode().decode("latin-1").translate(BYTE_SIGNS)) for x in parts.dictionary.filter(lettered).to_pylist()]
+        other = self._plain(parts.dictionary.filter(pc.invert(single)).to_pylist())
+        length = np.fromiter(chain(map(len, tokens), map(len, other)), np.int64, len(parts.dictionary))
+        flat = np.fromiter(chain((t.id for x in tokens for t in x), chain.from_iterable(other)), np.uint32, int(length.sum()))
+        place = np.empty(len(length), np.int64)
+        place[np.concatenate([np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (plain, lettered, pc.invert(single))])] = np.arange(len(length))
+        code = place[parts.indices.to_numpy()]
         size = length[code]
         ends = np.concatenate([[0], np.cumsum(size)])[split.offsets.to_numpy()]
         return flat[common.ragged((np.cumsum(length) - length)[code], size)], np.diff(ends)
@@ -107,13 +104,16 @@ class WordEncoder:
         if len(known) > REMEMBERED:  # forgotten whole, as any text can be encoded anew
             known.clear()
             self.ids, self.starts, self.lengths = self.ids[:0], self.starts[:0], self.lengths[:0]
-        new = [w for w in words if w not in known]
-        if new:
-            ids, length = self._encode(new)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+        number = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            spelled = [words[k] for k in new.tolist()]
+            ids, length = self._encode(spelled)
+            number[new] = np.arange(len(known), len(known) + len(new))
+            known.update(zip(spelled, number[new].tolist()))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(length) - length])
             self.lengths, self.ids = np.concatenate([self.lengths, length]), np.concatenate([self.ids, ids])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return number
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text."""
@@ -129,18 +129,10 @@ class WordEncoder:
         at = np.flatnonzero(~odd)
         if not len(at):
             return out
-        split = pc.split_pattern(texts.take(pa.array(at)), " ")
+        split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(at)), " ", "\x1e "), "\x1e")  # before each blank
         words = pc.dictionary_encode(split.values)
         offsets = split.offsets.to_numpy()
-        first = np.zeros(len(words), bool)
-        first[offsets[:-1]] = True
-        code = words.indices.to_numpy().astype(np.int64) * 2 + first
-        used = np.flatnonzero(np.bincount(code))
-        place = np.zeros(2 * len(words.dictionary), np.int64)
-        place[used] = np.arange(len(used))
-        code = place[code]
-        spelled = words.dictionary.to_pylist()
-        number = self._numbers([spelled[c >> 1] if c & 1 else " " + spelled[c >> 1] for c in used.tolist()])[code]
+        number = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
         length = self.lengths[number]
         ids = self.ids[common.ragged(self.starts[number], length)]
         ends = np.concatenate([[0], np.cumsum(length)])[offsets]
