@@ -216,7 +216,7 @@ def _scored(docs: DataFrame, model: Model, texts: bool = True) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
-        for batch in common.slices(batches, "text", common.SLICE_BYTES // 2):
+        for batch in common.slices(batches, "text", common.SLICE_BYTES // 4):
             code, words, offsets = words_of(batch.column("text"))
             high, low, count = grams(words)
             h = common.hash_pairs(high, low)
