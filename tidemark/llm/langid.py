@@ -46,7 +46,7 @@ UNDETERMINED = "und"
 #: n-grams that a task gathers before it sends their counts.
 GATHER = 600_000
 #: Numbers (a hash and a cost for each language) in the broadcast arrays of frequent 5-grams.
-HELD = 2 << 20
+HELD = 1 << 20
 #: Upper spread of the cross-entropy, as a share of its middle, that is always allowed for.
 LEAST_SPREAD = 0.02
 #: Calibration rows of a band of lengths from which it counts.
