@@ -37,8 +37,8 @@ LETTER, SIGN = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[\x00-@\[-`{-\x7f]"
 #: The characters by which a byte-level vocabulary spells bytes: printable ones by themselves, the others from U+0100 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b for b in PRINTED} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in PRINTED)}
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, and text bytes it encodes at once: larger slices look up fewer words.
+REMEMBERED, SLICE_BYTES = 800_000, 8 << 20
 #: Tasks whose leftovers one task merges.
 FAN_IN = 8
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, window long, offset long"
@@ -227,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
 
         base = TaskContext.get().partitionId() << 36
         encode, windows, number = encoder(tokenizer), Windows(window, open_windows), 0
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", SLICE_BYTES):
             closed = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(end_id))
