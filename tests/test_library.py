@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog, store
 from tidemark.functions import calendar, series, statistics
-from tidemark.operators import execution, intelligence, joins, ledger, models, risk
+from tidemark.operators import ensembles, execution, governance, intelligence, joins, ledger, models, risk
 from tidemark.sources import parsers
 
 T = dt.datetime
@@ -232,6 +232,20 @@ def test_append_absent_stream_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 5
 
 
+def test_repaired_matrices_are_nearest(spark):
+    rows = [("m", "a", "a", 1.0), ("m", "a", "b", 2.0), ("m", "b", "b", 1.0), ("sound", "a", "a", 2.0), ("sound", "a", "b", 0.5), ("sound", "b", "b", 1.0)]
+    got = {(r.book, r.i, r.j): r.v for r in governance.nearest_psd(spark.createDataFrame(rows, "book string, i string, j string, v double"), "book", "i", "j", "v").collect()}
+    # eigenvalues 3 and -1 along (1, 1) and (1, -1): without the second, 1.5 everywhere
+    assert all(abs(got["m", i, j] - 1.5) < 1e-9 for i in "ab" for j in "ab")
+    assert [round(got["sound", i, j], 9) for i, j in ("aa", "ab", "ba", "bb")] == [2.0, 0.5, 0.5, 1.0]
+
+
+def test_criterion_fails_on_missing_figures(spark):
+    rows = [(0.5, 0.6, 1.0, 1.1), (0.5, 0.54, 1.0, 1.1), (0.5, 0.6, 1.1, 1.1), (float("nan"), 0.6, 1.0, 1.1), (0.5, None, 1.0, 1.1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    assert [r.ok for r in df.select(ensembles.criterion_met(F.col("a"), F.col("b"), F.col("c"), F.col("d"), 0.05).alias("ok")).collect()] == [True, False, False, False, False]
+
+
 def test_entry_works_without_the_corpus_folders(monkeypatch):
     for name in [m for m in sys.modules if m.startswith(("tidemark.llm", "corpus_pipeline", "__spark_entry__"))]:
         monkeypatch.delitem(sys.modules, name)

@@ -14,7 +14,7 @@ from ..functions import series
 
 def tail(df: DataFrame, key: str, value: str, alpha: float = 0.05) -> DataFrame:
     """(key, n, var, es): the loss at the lower order statistic floor((n - 1) alpha), and the mean loss at or beyond it."""
-    known = df.where(F.col(value).isNotNull())
+    known = df.select(key, value).where(F.col(value).isNotNull())  # other columns may be named as the results are
     n = known.groupBy(key).agg(F.count("*").alias("n"))
     at = F.floor((F.col("n") - 1) * alpha) + 1
     ranked = known.select(key, F.col(value).alias("v"), F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("rn"))
