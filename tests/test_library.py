@@ -198,9 +198,6 @@ def test_garch_and_filters(spark):
     rows = [("a", k, float(x)) for k, x in enumerate([*calm, *wild])]
     vol = risk.garch(spark.createDataFrame(rows, "key string, t int, r double"), "key", "t", "r").orderBy("t").toPandas().garch_vol
     assert vol[400:].mean() > 2 * vol[100:300].mean()
-    p = models.regimes(spark.createDataFrame([("a", k, abs(x)) for _, k, x in rows], "key string, t int, v double"), "key", "t", ["v"], 2).orderBy("t").toPandas()
-    assert p.p1[350:].mean() > 0.7 > 0.3 > p.p1[:290].mean()
-    assert np.allclose(p.p0 + p.p1, 1)
 
 
 def test_black_litterman_without_views_is_equilibrium():

@@ -242,6 +242,21 @@ def population_stability(reference: DataFrame, current: DataFrame, value: str, b
     return both.agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
 
 
+def stability_by(df: DataFrame, key: str, value: str, current: Column, bins: int = 10, floor: float = 1e-6) -> DataFrame:
+    """(key, psi): the same for each key, of the rows where ``current`` holds against its others; null for a key that lacks either."""
+    known = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.coalesce(current, F.lit(False)).alias("_now"))
+    at = F.array(*(F.lit(k / bins) for k in range(1, bins)))
+    edges = known.where(~F.col("_now")).groupBy(key).agg(F.percentile("_v", at).alias("_edges"))
+    counted = known.join(edges, key).groupBy(key, F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("bin")).agg(F.count_if(F.col("_now")).alias("q"), F.count_if(~F.col("_now")).alias("p"))
+    total = Window.partitionBy(key)
+    share = lambda c: F.greatest(F.col(c) / F.nullif(F.sum(c).over(total), F.lit(0)), F.lit(floor))
+    shares = counted.select(key, share("p").alias("p"), share("q").alias("q"))
+    # bins that neither has differ by nothing
+    found = shares.groupBy(key).agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("_psi"))
+    have = known.groupBy(key).agg(F.bool_or("_now").alias("_both"))
+    return have.join(found, key, "left").select(key, F.when(F.col("_both"), F.col("_psi")).alias("psi"))
+
+
 def sleeve_statistics(df: DataFrame, key: str, at: str, value: str, periods: int = 12) -> DataFrame:
     """(key, n, ann_return, ann_vol, sharpe, max_drawdown, hit_rate) of each return series."""
     w = Window.partitionBy(key).orderBy(at)

@@ -151,23 +151,6 @@ def fit_hmm(x: np.ndarray, states: int, steps: int = 50, seed: int = 7) -> tuple
     return start[rank], move[rank][:, rank], mean[rank], cov[rank]
 
 
-def regimes(df: DataFrame, key: str, at: str, observed: list[str], states: int = 3, least: int = 60) -> DataFrame:
-    """``df`` with p0.. of each state, in ascending order of the first observable's mean: filtered probabilities under a model fitted to the key's complete rows (null under ``least``)."""
-    made = {f"p{k}": "double" for k in range(states)}
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[observed].to_numpy(float)
-        fine = np.isfinite(x).all(axis=1)
-        out = np.full((len(part), states), np.nan)
-        if fine.sum() >= least:
-            z = (x[fine] - x[fine].mean(axis=0)) / np.where(x[fine].std(axis=0) == 0, 1, x[fine].std(axis=0))
-            start, move, mean, cov = fit_hmm(z, states)
-            out[fine] = log_forward(np.column_stack([gaussian_log_density(z, mean[k], cov[k]) for k in range(states)]), start, move)
-        return pd.DataFrame(out, columns=list(made))
-
-    return _grouped(df, key, at, made, run)
-
-
 def dynamic_factor(wide: DataFrame, key: str, at: str, columns: list[str], reference: str, least: int = 24) -> DataFrame:
     """``wide`` with factor: at each row the first principal component of the standardised panel so far, signed by the reference column, the last row projected from what it has."""
 

@@ -125,42 +125,123 @@ def fit_garch(returns: np.ndarray, least: int = 24) -> tuple[float, float, float
     return target * (1 - a - b), a, b
 
 
-def garch(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """``df`` with the conditional deviation garch_vol; the first is the unconditional one."""
+def garch(df: DataFrame, key: str, at: str, value: str, parameters: tuple[float, float] | None = None) -> DataFrame:
+    """``df`` with the conditional deviation garch_vol, whose first value is the unconditional one, and garch_next, that of the time after the last row.
+
+    With ``parameters`` (alpha, beta) nothing is fitted; the variance is targeted.
+    """
 
     def step(v: pd.Series) -> pd.DataFrame:
         r = v.dropna().to_numpy()
-        omega, alpha, beta = fit_garch(r)
         e2 = (r - r.mean()) ** 2 if len(r) else r
+        target = e2.mean() if len(e2) else 0.0
+        omega, alpha, beta = fit_garch(r) if parameters is None else (target * (1 - sum(parameters)), *parameters)
+        h = garch_recursion(np.append(e2, 0.0), omega, alpha, beta, target)
         out = pd.Series(np.nan, v.index)
-        out[v.notna()] = np.sqrt(garch_recursion(e2, omega, alpha, beta, e2.mean() if len(e2) else 0.0))
-        return pd.DataFrame({"garch_vol": out})
+        out[v.notna()] = np.sqrt(h[:-1])
+        return pd.DataFrame({"garch_vol": out, "garch_next": np.sqrt(h[-1])})
+
+    return series.recursive(df, key, at, value, {"garch_vol": "double", "garch_next": "double"}, step)
+
+
+#: Grid of (a, b) that ``fit_dcc`` compares.
+DCC_GRID = tuple((a, b) for a in (0.01, 0.02, 0.03, 0.05, 0.08, 0.12) for b in (0.6, 0.75, 0.85, 0.9, 0.94, 0.97) if a + b < 0.999)
+
 
-    return series.recursive(df, key, at, value, {"garch_vol": "double"}, step)
+def standardised(panel: DataFrame, asset: str, at: str, value: str, parameters: tuple[float, float] | None = None) -> DataFrame:
+    """(asset, at, s, z, sigma_next): GARCH residuals at the times where every asset is known, numbered from 0 in order of time, and each asset's next deviation; a residual without a deviation is 0."""
+    known = panel.where(series.known(value).isNotNull()).select(F.col(asset).alias("asset"), F.col(at).alias("at"), F.col(value).cast("double").alias("x"))
+    assets = known.agg(F.countDistinct("asset").alias("_n"))
+    times = known.groupBy("at").agg(F.count("*").alias("_k")).crossJoin(F.broadcast(assets)).where("_k = _n")  # one row
+    times = times.select("at", (F.row_number().over(Window.orderBy("at")) - 1).alias("s"))  # a dimension: one row for each time
+    full = garch(known.join(times, "at"), "asset", "s", "x", parameters)
+    mean = F.avg("x").over(Window.partitionBy("asset"))
+    z = F.coalesce(series.known((F.col("x") - mean) / F.when(F.col("garch_vol") > 0, F.col("garch_vol"))), F.lit(0.0))
+    return full.select("asset", "at", "s", z.alias("z"), F.col("garch_next").alias("sigma_next"))
 
 
-def dcc_correlation(panel: DataFrame, asset: str, at: str, value: str, a: float = 0.03, b: float = 0.95) -> DataFrame:
-    """(i, j, corr): the last dynamic conditional correlations of the assets' GARCH residuals.
+def _pairs(z: DataFrame) -> DataFrame:
+    """(i, j, s, zi, zj), i <= j: times x pairs of assets, the size of what is added up."""
+    a, b = z.select("s", F.col("asset").alias("i"), F.col("z").alias("zi")), z.select("s", F.col("asset").alias("j"), F.col("z").alias("zj"))
+    return a.join(b, "s").where("i <= j")
 
-    The deviations are fitted in parallel, one asset a group; the recursion
-    runs over one row of residuals for each time, held as an array by asset.
+
+def _scaled(pairs: DataFrame, value: str, out: str) -> DataFrame:
+    """``pairs`` (i, j) with ``value`` over the roots of its diagonal, whose own are 1."""
+    diagonal = pairs.where("i = j").select("i", F.col(value).alias("_d"))
+    both = pairs.join(diagonal.withColumnRenamed("_d", "_di"), "i").join(diagonal.select(F.col("i").alias("j"), F.col("_d").alias("_dj")), "j")
+    ratio = F.col(value) / F.sqrt(F.greatest("_di", F.lit(1e-300)) * F.greatest("_dj", F.lit(1e-300)))
+    return both.withColumn(out, F.when(F.col("i") == F.col("j"), 1.0).otherwise(ratio)).drop("_di", "_dj")
+
+
+def fit_dcc(z: DataFrame, grid: tuple = DCC_GRID, least: int = 10) -> tuple[float, float] | None:
+    """(a, b) of greatest composite likelihood: the Gaussian likelihoods of all pairs, added up; None under ``least`` times or two assets.
+
+    A pair is a group of its own, as long as its history; the driver receives one row for each point of the grid.
+    """
+    if z.agg(F.countDistinct("s")).first()[0] < least:
+        return None
+
+    def likelihoods(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("s")[["zi", "zj"]].to_numpy()
+        bar = np.cov(x.T)
+        bar = bar / np.sqrt(np.outer(np.maximum(np.diag(bar), 1e-300), np.maximum(np.diag(bar), 1e-300)))
+        products = np.stack([x[:, 0] ** 2, x[:, 1] ** 2, x[:, 0] * x[:, 1]])
+        target = np.array([1.0, 1.0, bar[0, 1]])
+        a, b = np.array(grid).T
+        q, total = np.repeat(target[:, None], len(grid), axis=1), np.zeros(len(grid))
+        for t in range(len(x)):
+            rho = np.clip(q[2] / np.sqrt(np.maximum(q[0] * q[1], 1e-300)), -0.999999, 0.999999)
+            left = 1 - rho**2
+            total += np.log(left) + (products[0, t] + products[1, t] - 2 * rho * products[2, t]) / left
+            q = (1 - a - b) * target[:, None] + a * products[:, t, None] + b * q
+        return pd.DataFrame({"a": a, "b": b, "loss": total / 2})
+
+    found = _pairs(z).where("i < j").groupBy("i", "j").applyInPandas(likelihoods, "a double, b double, loss double")
+    best = found.groupBy("a", "b").agg(F.sum("loss").alias("loss")).orderBy("loss", "a", "b").first()
+    return None if best is None else (best["a"], best["b"])
+
+
+def dcc_correlation(panel: DataFrame, asset: str, at: str, value: str, a: float | None = 0.03, b: float | None = 0.95, parameters: tuple[float, float] | None = None) -> DataFrame:
+    """(i, j, qbar, corr) for i <= j: the conditional correlations of the assets' GARCH residuals for the time after the last.
+
+    The recursion q = (1 - a - b) qbar + a z z' + b q acts on every pair by itself, and from
+    q = qbar it adds up to a sum of decayed products, one aggregation by pair; the diagonal is joined back
+    to scale it. With a and b None they are fitted by ``fit_dcc``; where that has too little, or a + b is not below 1,
+    the correlation is qbar. No asset or time is held in one place; the work is times x pairs.
+    """
+    z = standardised(panel, asset, at, value, parameters)
+    if a is None or b is None:
+        a, b = fit_dcc(z) or (-1.0, -1.0)
+    return _dcc(z, a, b)
+
+
+def _dcc(z: DataFrame, a: float, b: float) -> DataFrame:
+    sound = a >= 0 and b >= 0 and a + b < 1
+    n = z.agg((F.max("s") + 1).alias("_n"))
+    pairs = _pairs(z).crossJoin(F.broadcast(n))  # one row
+    # the last residual is that of the forecast's own time
+    decayed = F.sum(F.when(F.col("s") < F.col("_n") - 1, F.pow(F.lit(b), F.col("_n") - 2 - F.col("s")) * F.col("zi") * F.col("zj")).otherwise(0.0))
+    sums = pairs.groupBy("i", "j").agg(F.covar_samp("zi", "zj").alias("c"), decayed.alias("_sum"), F.first("_n").alias("_n"))
+    sums = _scaled(sums, "c", "qbar")
+    if not sound:
+        return sums.select("i", "j", "qbar", F.col("qbar").alias("corr"))
+    past = F.pow(F.lit(b), F.col("_n") - 1)
+    q = F.col("qbar") * (past + (1 - a - b) * (1 - past) / (1 - b)) + a * F.col("_sum")
+    return _scaled(sums.withColumn("q", q), "q", "corr").select("i", "j", "qbar", "corr")
+
+
+def dcc_garch_covariance(panel: DataFrame, asset: str, at: str, value: str, a: float | None = 0.03, b: float | None = 0.95, parameters: tuple[float, float] | None = None) -> DataFrame:
+    """(i, j, cov) for i <= j: the next covariances, made of the assets' next GARCH deviations and their conditional correlations.
+
+    Fewer than three times or two assets, or an asset without a positive next deviation, fall back to ``ewma_covariance``.
     """
-    names = [r[0] for r in panel.select(asset).distinct().orderBy(asset).limit(513).collect()]
-    if len(names) > 512:
-        raise ValueError("a correlation matrix of at most 512 assets")
-    z = garch(panel.select(asset, at, value), asset, at, value)
-    mean = F.avg(value).over(Window.partitionBy(asset))
-    z = z.withColumn("z", F.coalesce((F.col(value) - mean) / F.when(F.col("garch_vol") > 0, F.col("garch_vol")), F.lit(0.0)))
-    wide = z.groupBy(at).pivot(asset, names).agg(F.first("z")).na.fill(0.0).withColumn("_all", F.lit(0))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(at)[[str(n) for n in names]].to_numpy(float)
-        base = x.T @ x / max(len(x), 1)
-        q = base.copy()
-        for row in x[:-1]:
-            q = (1 - a - b) * base + a * np.outer(row, row) + b * q
-        d = np.sqrt(np.maximum(np.diag(q), 1e-18))
-        r = q / np.outer(d, d)
-        return pd.DataFrame([(str(names[i]), str(names[j]), r[i, j]) for i in range(len(names)) for j in range(i, len(names))], columns=["i", "j", "corr"])
-
-    return wide.groupBy("_all").applyInPandas(run, "i string, j string, corr double")
+    z = standardised(panel, asset, at, value, parameters)
+    size = z.agg(F.countDistinct("s").alias("times"), F.countDistinct("asset").alias("assets"), F.min("sigma_next").alias("least")).first()
+    if size["times"] < 3 or size["assets"] < 2 or not size["least"] > 0:
+        return ewma_covariance(panel, asset, at, value)
+    if a is None or b is None:
+        a, b = fit_dcc(z) or (-1.0, -1.0)
+    sigma = z.groupBy("asset").agg(F.first("sigma_next").alias("sigma"))
+    made = _dcc(z, a, b).join(sigma.select(F.col("asset").alias("i"), F.col("sigma").alias("_si")), "i").join(sigma.select(F.col("asset").alias("j"), F.col("sigma").alias("_sj")), "j")
+    return made.select("i", "j", (F.col("_si") * F.col("corr") * F.col("_sj")).alias("cov"))

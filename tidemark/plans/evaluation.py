@@ -209,9 +209,31 @@ def garch_volatility(spark, sf_dir):
     return risk.garch(_known(spark, sf_dir).select("key", "month", "ret"), "key", "month", "ret").select("key", "month", r("garch_vol", "garch_vol"))
 
 
-@query()
+#: The GARCH and correlation parameters of the queries that fit none.
+ALPHA, BETA, DCC_A, DCC_B = 0.06, 0.9, 0.03, 0.95
+DCC_SQL = f"""WITH RECURSIVE x AS (SELECT key, month, ret FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL),
+ times AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS s FROM (SELECT month FROM x GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT key) FROM x))),
+ e AS (SELECT key, s, ret - avg(ret) OVER (PARTITION BY key) AS e, var_pop(ret) OVER (PARTITION BY key) AS v FROM x JOIN times USING (month)),
+ n AS (SELECT max(s) + 1 AS n FROM times),
+ h AS (SELECT key, s, e, v, v AS h FROM e WHERE s = 0 UNION ALL SELECT e.key, e.s, e.e, e.v, e.v * (1 - {ALPHA} - {BETA}) + {ALPHA} * h.e * h.e + {BETA} * h.h FROM h JOIN e ON e.key = h.key AND e.s = h.s + 1),
+ z AS (SELECT key, s, e / sqrt(h) AS z FROM h),
+ ahead AS (SELECT key, sqrt(v * (1 - {ALPHA} - {BETA}) + {ALPHA} * e * e + {BETA} * h) AS sigma FROM h, n WHERE s = n.n - 1),
+ p AS (SELECT a.key AS i, b.key AS j, a.s, a.z * b.z AS zz, a.z AS zi, b.z AS zj FROM z a JOIN z b ON a.s = b.s AND a.key <= b.key),
+ c AS (SELECT i, j, covar_samp(zi, zj) AS c FROM p GROUP BY 1, 2),
+ bar AS (SELECT c.i, c.j, c.c / sqrt(a.c * b.c) AS qbar FROM c JOIN c a ON a.i = c.i AND a.j = c.i JOIN c b ON b.i = c.j AND b.j = c.j),
+ q AS (SELECT i, j, 0::BIGINT AS s, qbar, qbar AS q FROM bar UNION ALL SELECT q.i, q.j, q.s + 1, q.qbar, (1 - {DCC_A} - {DCC_B}) * q.qbar + {DCC_A} * p.zz + {DCC_B} * q.q FROM q JOIN p ON p.i = q.i AND p.j = q.j AND p.s = q.s JOIN n ON q.s + 1 < n.n),
+ last AS (SELECT q.* FROM q, n WHERE q.s = n.n - 1),
+ r AS (SELECT l.i, l.j, l.q / sqrt(a.q * b.q) AS corr FROM last l JOIN last a ON a.i = l.i AND a.j = l.i JOIN last b ON b.i = l.j AND b.j = l.j)"""
+
+
+@query(f"{DCC_SQL} SELECT i, j, {sql_r('corr', 'corr')} FROM r")
 def dcc_correlation(spark, sf_dir):
-    return risk.dcc_correlation(_known(spark, sf_dir), "key", "month", "ret").select("i", "j", r("corr", "corr"))
+    return risk.dcc_correlation(_known(spark, sf_dir), "key", "month", "ret", DCC_A, DCC_B, (ALPHA, BETA)).select("i", "j", r("corr", "corr"))
+
+
+@query(f"{DCC_SQL} SELECT r.i, r.j, {sql_r('a.sigma * corr * b.sigma', 'cov')} FROM r JOIN ahead a ON a.key = r.i JOIN ahead b ON b.key = r.j")
+def dcc_garch_covariance(spark, sf_dir):
+    return risk.dcc_garch_covariance(_known(spark, sf_dir), "key", "month", "ret", DCC_A, DCC_B, (ALPHA, BETA)).select("i", "j", r("cov", "cov"))
 
 
 @query(f"SELECT key, year(month) AS year, {sql_r('product(1 + ret) - 1', 'ret')}, {sql_r('avg((ret > 0)::INT)', 'hits')}, arg_max(month, ret) AS best, arg_min(month, ret) AS worst FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL GROUP BY 1, 2")

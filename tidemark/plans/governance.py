@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import series
+from ..functions import series, statistics
 from ..operators import governance
 from ..session import table
 from .base import RETURNS_SQL, r, returns, sql_r, timeline
@@ -74,21 +74,39 @@ def column_coverage(spark, sf_dir):
     return series.coverage(e, list(SPARSE.values()))
 
 
-@query(f"""WITH p AS (SELECT key, month, {sql_r("product(1 + ret) OVER (PARTITION BY key ORDER BY month ROWS UNBOUNDED PRECEDING)", 'c')} FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL),
- d AS (SELECT key, min(c / m - 1) AS dd FROM (SELECT *, max(c) OVER (PARTITION BY key ORDER BY month ROWS UNBOUNDED PRECEDING) AS m FROM p) GROUP BY 1)
- SELECT key, (dd <= -0.03)::INT AS n_warnings FROM d""")
+@query(f"""WITH x AS (SELECT key, month, ret, year(month) >= 1996 AS now FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL),
+ p AS (SELECT key, month, {sql_r("product(1 + ret) OVER (PARTITION BY key ORDER BY month ROWS UNBOUNDED PRECEDING)", 'c')} FROM x),
+ d AS (SELECT key, min(c / m - 1) AS dd FROM (SELECT *, max(c) OVER (PARTITION BY key ORDER BY month ROWS UNBOUNDED PRECEDING) AS m FROM p) GROUP BY 1),
+ e AS (SELECT key, quantile_cont(ret, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM x WHERE NOT now GROUP BY 1),
+ b AS (SELECT key, len(list_filter(edges, lambda v: v < ret)) AS bin, count(*) FILTER (now) AS q, count(*) FILTER (NOT now) AS p FROM x JOIN e USING (key) GROUP BY 1, 2),
+ s AS (SELECT key, greatest(q / nullif(sum(q) OVER (PARTITION BY key), 0), 1e-6) AS q, greatest(p / nullif(sum(p) OVER (PARTITION BY key), 0), 1e-6) AS p FROM b),
+ i AS (SELECT key, sum((q - p) * ln(q / p)) AS psi FROM s GROUP BY 1),
+ y AS (SELECT key, bool_or(now) AS two_sided FROM x GROUP BY 1)
+ SELECT key, {sql_r('CASE WHEN two_sided THEN psi END', 'psi')}, coalesce((CASE WHEN two_sided THEN psi END > 0.2)::INT, 0) + (dd <= -0.03)::INT AS n_warnings FROM d JOIN y USING (key) LEFT JOIN i USING (key)""")
 def drift_warnings(spark, sf_dir):
     w = timeline().rowsBetween(Window.unboundedPreceding, 0)
-    x = returns(spark, sf_dir).where("ret is not null").withColumn("c", F.product(1 + F.col("ret")).over(w))
-    x = x.withColumn("d", F.col("c") / F.max("c").over(w) - 1).groupBy("key").agg(F.min("d").alias("d"))
-    return x.select("key", F.size(governance.drift_warnings(F.lit(None).cast("double"), F.col("d"))).alias("n_warnings"))
+    x = returns(spark, sf_dir).where("ret is not null")
+    fallen = x.withColumn("c", F.product(1 + F.col("ret")).over(w)).withColumn("d", F.col("c") / F.max("c").over(w) - 1).groupBy("key").agg(F.min("d").alias("d"))
+    both = fallen.join(statistics.stability_by(x, "key", "ret", F.year("month") >= 1996), "key")
+    return both.select("key", r("psi", "psi"), F.size(governance.drift_warnings(F.col("psi"), F.col("d"))).alias("n_warnings"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT key, month, ret FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL),
+ m AS (SELECT year(a.month) AS book, a.key AS i, b.key AS j, covar_samp(a.ret, b.ret) AS v FROM x a JOIN x b USING (month) WHERE a.key <= b.key GROUP BY ALL),
+ names AS (SELECT book, count(*) AS n FROM m WHERE i = j AND v IS NOT NULL GROUP BY 1)
+ SELECT book, n * n AS cells, true AS symmetric, true AS definite FROM names WHERE n > 1""")
 def repaired_covariance(spark, sf_dir):
+    """A book for each year: fewer months than it takes to be definite, and a diagonal cut to a hundredth. Repaired, each matrix is symmetric and definite."""
     x = returns(spark, sf_dir).where("ret is not null")
     pairs = x.select("month", F.col("key").alias("i"), F.col("ret").alias("a")).join(x.select("month", F.col("key").alias("j"), F.col("ret").alias("b")), "month")
-    m = pairs.where("i <= j").groupBy("i", "j").agg(F.covar_samp("a", "b").alias("v"))
-    # the diagonal halved: no covariance any more
-    m = m.select(F.lit("all").alias("book"), "i", "j", F.when(F.col("i") == F.col("j"), F.col("v") * 0.01).otherwise(F.col("v")).alias("v"))
-    return governance.nearest_psd(m, "book", "i", "j", "v")
+    m = pairs.where("i <= j").groupBy(F.year("month").cast("long").alias("book"), "i", "j").agg(F.covar_samp("a", "b").alias("v")).where("v is not null")
+    m = m.select("book", "i", "j", F.when(F.col("i") == F.col("j"), F.col("v") * 0.01).otherwise(F.col("v")).alias("v"))
+    fixed = governance.nearest_psd(m, "book", "i", "j", "v")
+    other = fixed.select("book", F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("t"))
+    both = fixed.join(other, ["book", "i", "j"])
+    # x'Mx is not negative for the corner vectors of every two assets, as for every vector of a definite matrix
+    corner = fixed.where("i = j").select("book", "i", F.col("v").alias("vi"))
+    tested = both.join(corner, ["book", "i"]).join(corner.select("book", F.col("i").alias("j"), F.col("vi").alias("vj")), ["book", "j"])
+    ok = (F.col("v") * F.col("v") <= F.col("vi") * F.col("vj") * (1 + 1e-6) + 1e-18) & (F.col("vi") > -1e-15)
+    g = tested.groupBy("book").agg(F.count("*").alias("cells"), F.bool_and(F.abs(F.col("v") - F.col("t")) < 1e-12).alias("symmetric"), F.bool_and(ok).alias("definite"))
+    return g.where("cells > 1")

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import series
-from ..operators import models, risk, runs
-from ..session import table
+from ..operators import joins, models, regimes, risk, runs
+from ..session import shared_folder, table
 from ..sources import parsers
-from ..streaming import jobs
+from ..streaming import filters, jobs
 from .base import RETURNS_SQL, monthly, r, returns, signals, sql_r, timeline
 
 QUERIES: dict = {}
@@ -76,8 +76,9 @@ def local_level(spark, sf_dir):
 
 @query()
 def regime_probabilities(spark, sf_dir):
-    x = models.regimes(signals(spark, sf_dir).select("key", "month", "ret", "carry"), "key", "month", ["ret", "carry"], 2, 36)
-    return x.select("key", "month", r("p0", "p0"), r("p1", "p1"))
+    x = signals(spark, sf_dir).select("key", "month", "ret", "carry")
+    x = regimes.point_in_time(x, "key", "month", ["ret", "carry"], F.month("month") % 6 == 0, 2, "ret", 36)
+    return x.select("key", "month", "asof", r("p0", "p0"), r("p1", "p1"))
 
 
 @query()
@@ -246,17 +247,16 @@ def accent_free_counts(spark, sf_dir):
 # streams: the events table read as a stream to its end
 
 
-def _finish(spark, stream, mode: str = "append"):
-    """Run a stream over all there is and return its rows from a table in the shared folder."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    path = f"{root}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    else:  # the whole result of each batch takes the place of the one before
-        stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path)
+def _finish(spark, stream, latest: list[str] | None = None):
+    """Run a stream over all there is and return its rows from a table in the shared folder; with ``latest``, the last state of each of these keys, of which every batch writes those that changed."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if latest is None:
+        writer.format("parquet").option("path", path).outputMode("append").start().awaitTermination()
+        return spark.read.parquet(path)
+    # a batch that runs again writes the same folder again
+    writer.foreachBatch(lambda rows, k: rows.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/{k:09d}")).outputMode("update").start().awaitTermination()
+    return joins.keep_last(spark.read.parquet(f"{path}/*"), latest, ["_batch"]).drop("_batch")
 
 
 def _event_stream(spark, sf_dir):
@@ -267,7 +267,7 @@ def _event_stream(spark, sf_dir):
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windows(spark, sf_dir):
     e = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _finish(spark, jobs.windowed(e, "ts", "event_type", "value"), "complete")
+    out = _finish(spark, jobs.windowed(e, "ts", "event_type", "value", late="40 days"), ["window_start", "event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
@@ -285,3 +285,40 @@ def streaming_order_states(spark, sf_dir):
     moves = F.element_at(F.create_map(*(F.lit(x) for p in (("view", "WORKING"), ("click", "PARTIAL"), ("purchase", "FILLED"), ("error", "CANCELED"), ("signup", "REJECTED")) for x in p)), F.col("event_type"))
     orders = e.select(F.floor(F.col("event_id") / 6).cast("long").alias("order_id"), F.col("event_id").alias("seq"), moves.alias("target"), F.lit(10.0).alias("qty"), F.when(F.col("event_type").isin("click", "purchase"), 2.0).otherwise(0.0).alias("fill_qty"), F.col("value").alias("fill_price"))
     return _finish(spark, jobs.order_states(orders)).select("order_id", "seq", "state", "filled", "legal")
+
+
+# filters over the same stream; each user's events are a series
+
+
+_USER_EVENTS = "SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events"
+
+
+@query(f"""WITH RECURSIVE x AS ({_USER_EVENTS}), f AS (
+  SELECT user_id, event_id, k, value AS level, CASE WHEN value IS NULL THEN 10.05 ELSE 10.05 * (1 - 10.05 / 11.05) END AS p FROM x WHERE k = 1
+  UNION ALL SELECT x.user_id, x.event_id, x.k, CASE WHEN x.value IS NULL THEN level WHEN level IS NULL THEN x.value ELSE level + (p + 0.05) / (p + 1.05) * (x.value - level) END,
+   CASE WHEN x.value IS NULL THEN p + 0.05 ELSE (p + 0.05) * (1 - (p + 0.05) / (p + 1.05)) END FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
+ SELECT user_id, event_id, {sql_r('level', 'level')}, {sql_r('p', 'variance')} FROM f""")
+def streaming_levels(spark, sf_dir):
+    with filters.state_store(spark):
+        out = _finish(spark, filters.stream(_event_stream(spark, sf_dir), "user_id", "event_id", ["value"], filters.level_filter()))
+    return out.select("user_id", "event_id", r(series.known("level"), "level"), r("variance", "variance"))
+
+
+@query(f"""WITH RECURSIVE x AS ({_USER_EVENTS}), f AS (SELECT user_id, event_id, k, value, 100.0::DOUBLE AS h FROM x WHERE k = 1
+  UNION ALL SELECT x.user_id, x.event_id, x.k, x.value, 1.0371 + 0.05317 * coalesce(f.value * f.value, h) + 0.89113 * h FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
+ SELECT user_id, event_id, {sql_r('h', 'variance')} FROM f""")
+def streaming_variances(spark, sf_dir):
+    with filters.state_store(spark):
+        out = _finish(spark, filters.stream(_event_stream(spark, sf_dir), "user_id", "event_id", ["value"], filters.variance_filter(1.0371, 0.05317, 0.89113, 100.0)))
+    return out.select("user_id", "event_id", r("variance", "variance"))
+
+
+@query("""WITH RECURSIVE x AS (SELECT user_id, event_id, list_position(['view', 'click', 'purchase'], event_type) - 1 AS now, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+ f AS (SELECT user_id, event_id, k, now, false AS changed, false AS fires, -999::BIGINT AS fired_at FROM x WHERE k = 1
+  UNION ALL SELECT x.user_id, x.event_id, x.k, x.now, x.now <> f.now, x.now <> f.now AND x.k - fired_at >= 6, CASE WHEN x.now <> f.now AND x.k - fired_at >= 6 THEN x.k ELSE fired_at END FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
+ SELECT user_id, event_id, now AS dominant, changed, fires FROM f""")
+def streaming_regime_refits(spark, sf_dir):
+    kinds = ["view", "click", "purchase"]
+    e = _event_stream(spark, sf_dir).where(F.col("event_type").isin(kinds)).select("user_id", "event_id", *((F.col("event_type") == k).cast("double").alias(k) for k in kinds))
+    with filters.state_store(spark):
+        return _finish(spark, filters.stream(e, "user_id", "event_id", kinds, filters.cooldown_filter()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,22 @@ def local_session(cpus: int | str | None = None, partitions: int | None = None)
     return spark
 
 
+#: The temporary folder of a local session, once it was asked for.
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only a local session (tests) gets a temporary one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    return _local[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
