@@ -17,8 +17,8 @@ changes where both have it.
 Leading terms: a group's terms of one count are a bucket, with the extreme
 probabilities that its terms have in the language. The probability in the group is
 the same for all of them, so the least in the language bounds f from above. Buckets
-are taken best-first, in rounds of growing numbers of terms, and their terms
-evaluated; a group ends when the bounds of all buckets not taken are strictly
+are taken best-first, by levels of their bounds and in rounds of growing numbers of
+terms, and their terms evaluated; a group ends when the bounds of all buckets not taken are strictly
 below the value of its k-th term.
 
 Defined cases: null texts, languages and sources are empty ones; a group without terms
@@ -46,6 +46,8 @@ UNIT = 1_000_000_000
 SLICE_BYTES = 8 << 20
 #: Terms that the first round of the search takes for each group beside the k wanted, and the factor of each later one.
 FIRST_TERMS, GROWTH = 100, 100
+#: Levels of bounds for each doubling.
+LEVELS = 4
 #: Pairs of postings that a task holds at once, and sums of pairs of groups it keeps.
 PAIRS, SUMS = 1 << 20, 1 << 20
 #: Groups, and buckets taken in a round, that are broadcast at most (narrow rows).
@@ -124,7 +126,7 @@ class Audit:
         self.few_groups = self.groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def _with_groups(self, df: DataFrame, keys: list[str], groups: DataFrame, how: str = "inner") -> DataFrame:
-        """Joined with one row a group, or fewer, which is broadcast if there are few groups."""
+        """Joined with one row a group, or a fixed number of rows at most, which are broadcast if there are few groups."""
         return df.join(F.broadcast(groups) if self.few_groups else groups, keys, how)
 
     def pairs(self) -> DataFrame:
@@ -151,9 +153,12 @@ class Audit:
         """lang, source, item, value, rank of the ``k`` leading terms of each group."""
         marked = self._with_groups(self.buckets, ["lang", "source"], self.groups.select("lang", "source", "group_total", "lang_total"))
         marked = marked.withColumns({"p": _share("n", "group_total"), "q": _share("least", "lang_total")}).where("p > q").withColumn("bound", _divergence("p", "q"))
-        order = Window.partitionBy("lang", "source").orderBy(F.desc("bound"), F.desc("n"))
-        before = F.coalesce(F.sum("terms").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        queue = common.scratch(marked.select("lang", "source", "n", "p", "lang_total", "bound", before.alias("before")), "queue")
+        marked = common.scratch(marked.select("lang", "source", "n", "terms", "p", "lang_total", "bound", F.floor(LEVELS * F.log2(F.col("bound") + 1)).cast("int").alias("level")), "bounds")
+        # the queue goes by levels of bounds, of which a group has few, however many counts its terms have
+        levels = marked.groupBy("lang", "source", "level").agg(F.sum("terms").alias("terms"))
+        above = F.sum("terms").over(Window.partitionBy("lang", "source").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1))
+        levels = levels.select("lang", "source", "level", F.coalesce(above, F.lit(0)).alias("before"))
+        queue = common.scratch(self._with_groups(marked.drop("terms"), ["lang", "source", "level"], levels), "queue")
         best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         spark, low, high = self.postings.sparkSession, 0, k + FIRST_TERMS
         top = spark.createDataFrame([], "lang string, source string, item string, value long, rank int")
