@@ -183,6 +183,38 @@ def test_rows_without_an_id_come_after_those_with_one(spark):
     assert got == [(0, 0, 0), (0, n, n), (0, n + 12, n), (3, n, 0), (9, n, n)]
 
 
+@pytest.mark.parametrize("limits", [(suffixes.RANGE_ROWS, suffixes.OPENED_ROWS), (5, 3)])
+def test_rows_that_share_an_id_or_have_none_keep_their_own_bytes(spark, monkeypatch, limits):
+    monkeypatch.setattr(suffixes, "RANGE_ROWS", limits[0])
+    monkeypatch.setattr(suffixes, "OPENED_ROWS", limits[1])
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(146))
+    other, third, fourth = ("".join(rng.choice(signs) for _ in range(450)) for signs in ("ijklmnop ", "qrstuv ", "wxyz 123"))
+    made = [(0, passage), (1, passage + "aaa bbb ccc"), (1, other), (2, other[:200] + third), (1, third[:300]), (None, fourth), (None, fourth + passage), (None, third[250:] + fourth), ((1 << 63) - 2, fourth[:100]), (1, other), (None, fourth)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in rows(suffixes.without_repeats(frame, bits=2)))
+    # rows without an id come last, in the order of the hash of their text
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = lambda d, t: (0, d, 0) if d is not None else (1, 0, signed(t))
+    wanted = []
+    for d, t in made:
+        seen = {u[k : k + 50] for e, u in made if order(e, u) < order(d, t) for k in range(len(u) - 49)}
+        covered = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            covered[k : k + 50] |= t[k : k + 50] in seen
+        kept = np.frombuffer(t.encode(), np.uint8)[~covered].tobytes()
+        wanted.append((d is None, d or 0, len(t), int(covered.sum()), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(wanted) and (False, 1, 450, 0, hashlib.sha256(other.encode()).hexdigest()) in got
+
+
+def test_no_byte_of_overlapping_entities_stays(spark):
+    made = ["10.20.30.40@mail-host.example.com", "a@b.cd or +49 (0)30 1234567 or 4111 1111 1111 1111", "call +4111111111111111 or 10.0.0.1.2.3@x.yz now", "1@2.3.4.5.6"]
+    got = [r.text for r in pii.sanitise(spark.createDataFrame([(t,) for t in made], "text string"), remove=9.0, generalise=9.0, elsewhere=9.0).collect()]
+    assert got[0] == "[EMAIL]" and got[2] == "call +[CARD] or [EMAIL] now"
+    assert all(not any(c.isdigit() or c == "@" for c in t) for t in got)
+    assert pii._merged([(5, 9, "b"), (0, 6, "a"), (8, 20, "c"), (20, 21, "d")]) == [(0, 20, "c"), (20, 21, "d")]
+
+
 def test_a_character_that_loses_bytes_goes_whole():
     data = np.frombuffer("aé漢�b".encode(), np.uint8)
     covered = np.zeros(len(data), bool)
@@ -321,6 +353,19 @@ def test_junk_is_rejected(spark, docs):
     assert {r["row"]["text"][0]: r["rejected"] for r in got} == {"q": True, "t": False}
 
 
+def test_texts_that_the_model_never_saw_are_priced(spark, docs):
+    model = langid.learn(docs.where("lang is not null").select("text", "lang", (F.col("doc_id") % 4 + 1).alias("fold")))
+    unseen = ["漢字漢字文字列的例子", "qzxj wvkq xxqj zzkw qqvx jjzq kkxw", "the of ring thin oning with that", "nicht und schön über der keit"]
+    frame = spark.createDataFrame([(t,) for t in [*unseen, "12", None]], "text string")
+    got = {r["row"]["text"]: r for r in rows(langid.predict(frame, model))}
+    assert [got[t]["rejected"] for t in unseen] == [True, True, False, False]
+    assert got[unseen[0]]["cross_entropy"] > 5 and got[unseen[2]]["lang_pred"] == "en" and got[unseen[3]]["lang_pred"] == "de"
+    # as if they had been there from the start
+    whole = langid.price(model, langid._grams(docs.select("text", F.lit(None).cast("string").alias("lang")).unionByName(frame.withColumn("lang", F.lit(None).cast("string")))))
+    again = {r["row"]["text"]: r["cross_entropy"] for r in rows(langid.predict(frame, whole, priced=True))}
+    assert all((got[t]["cross_entropy"] is None) == (x is None) and (x is None or abs(got[t]["cross_entropy"] - x) < 1e-9) for t, x in again.items())
+
+
 def kneser_ney(texts: list[str]):
     """The cost of a word under plain dictionaries of the same definition."""
     counts: dict = {}

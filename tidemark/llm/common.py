@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Text bytes that a task handles at once; numpy temporaries are a small multiple of it.
 SLICE_BYTES = 4 << 20
 
@@ -21,17 +22,6 @@ SLICE_BYTES = 4 << 20
 _made: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session (tests) gets a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which ``clear`` deletes."""
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
@@ -52,11 +42,20 @@ def clear(spark: SparkSession | None = None) -> None:
     _made.clear()
 
 
+#: On a local or mounted file system Hadoop starts a process for the mode and writes a checksum file for each file it makes; its plain file system does neither. Other stores don't look at this.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet to a scratch path."""
+    df.write.options(**PLAIN_FILES).option("compression", "zstd").parquet(path)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again, which cuts the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

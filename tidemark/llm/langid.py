@@ -28,7 +28,7 @@ an id are held out; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -277,9 +277,25 @@ def calibrate(model: Model, docs: DataFrame) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, factor: float = 3.0, texts: bool = True) -> DataFrame:
-    """(row, lang_pred, score, cross_entropy, excess, rejected): ``row`` is the row of ``docs`` (its text null without ``texts``), of which only the text is looked at and whose 5-grams are priced; ``excess`` is the cross-entropy above the middle in spreads, and beyond ``factor`` a text is rejected."""
+def priced_for(docs: DataFrame, model: Model) -> Model:
+    """``model`` with the costs of those 5-grams of ``docs`` too that it has not priced; the broadcast arrays stay."""
+    counts = _grams(docs.select("text", F.lit(None).cast("string").alias("lang")))
+    if model.costs is None:
+        return price(model, counts)
+    missing = common.scratch(counts.select("high", "low").join(model.costs, ["high", "low"], "left_anti"), "missing-grams")
+    if missing.isEmpty():
+        return model
+    return replace(model, costs=model.costs.unionByName(common.scratch(gram_costs(missing, model), "more-costs")), whole=False)
+
+
+def predict(docs: DataFrame, model: Model, factor: float = 3.0, texts: bool = True, priced: bool = False) -> DataFrame:
+    """(row, lang_pred, score, cross_entropy, excess, rejected): ``row`` is the row of ``docs`` (its text null without ``texts``), of which only the text is looked at; ``excess`` is the cross-entropy above the middle in spreads, and beyond ``factor`` a text is rejected.
+
+    5-grams that the model has not priced yet are priced first; ``priced`` says that there are none, as after ``learn`` on the same texts.
+    """
     n = len(model.languages)
+    if n and not priced:
+        model = priced_for(docs, model)
     if not n:
         none = F.lit(None).cast("double")
         return docs.select(F.struct("*").alias("row"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("cross_entropy"), none.alias("excess"), F.lit(True).alias("rejected"))
@@ -323,5 +339,5 @@ def learn(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, excess, rejected) for every row."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold(id_col).alias("fold"))
-    made = predict(plain.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")), learn(plain), texts=False)
+    made = predict(plain.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")), learn(plain), texts=False, priced=True)
     return made.select("row.doc_id", "row.held_out", "lang_pred", "score", "cross_entropy", "excess", "rejected")

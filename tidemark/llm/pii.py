@@ -22,8 +22,8 @@ are counted as one class, so a list of thousands of addresses is one entity here
 
 Defined cases: a null or empty text has no spans; a row without an id, rows
 that repeat an id and repeated texts get the spans of their text; overlapping
-spans are reported as found, and sanitising replaces the first of them; a word
-or text of any length counts whole; an entity in every document has nothing to
+spans are reported as found, and sanitising replaces all that they cover by
+what stands for the longest of them; a word or text of any length counts whole; an entity in every document has nothing to
 disclose; an empty table gives an empty result; other columns of the input are
 ignored or kept, see each function.
 """
@@ -291,6 +291,19 @@ def _shape(word: str) -> str:
     return "X" + "x" * (len(word) - 1) if word[:1].isupper() else "x" * len(word)
 
 
+def _merged(marks: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans in order, those that overlap as one with what stands for the longest of them."""
+    out: list[list] = []  # start, end, length of the longest, what stands for it
+    for a, b, put in sorted(marks):
+        if not out or a >= out[-1][1]:
+            out.append([a, b, b - a, put])
+            continue
+        if b - a > out[-1][2]:
+            out[-1][2:] = b - a, put
+        out[-1][1] = max(b, out[-1][1])
+    return [(a, b, put) for a, b, _, put in out]
+
+
 def sanitise(docs: DataFrame, smoothing: float = 1.0, remove: float = 0.9, generalise: float = 0.85, elsewhere: float = 0.95, text_col: str = "text") -> DataFrame:
     """``docs`` (a text and other columns, all kept) with entities and revealing words replaced in the text."""
     text = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -310,10 +323,9 @@ def sanitise(docs: DataFrame, smoothing: float = 1.0, remove: float = 0.9, gener
                     marks += [(x["a"], x["b"], "[TERM]" if x["kind"] == REMOVED else _shape(text[x["a"] : x["b"]])) for x in added.as_py() or ()]
                     if marks:
                         parts, free = [], 0
-                        for a, b, put in sorted(marks):
-                            if a >= free:
-                                parts += [text[free:a], put]
-                                free = b
+                        for a, b, put in _merged(marks):
+                            parts += [text[free:a], put]
+                            free = b
                         text = "".join([*parts, text[free:]])
                 texts.append(text)
             columns = [pa.array(texts, x.type) if k == at else x for k, x in enumerate(fields)]

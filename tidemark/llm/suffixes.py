@@ -30,12 +30,16 @@ Strings are told apart by identifiers: 88 bits for whole runs, 128 for single
 strings. With n runs about n^2 / 2^89 pairs of different runs are confused: 5e-9
 over 30 GB, 0.05 over 100 TB.
 
-Defined cases: a null text is empty; repeated rows with one doc_id count as
-one document for matches (they are expected to have one text) and are returned
-as often as they come; a row without an id comes after all rows with one, and
-such rows are ordered by a hash of their text, equal texts being one document;
-strings never cross rows; a text may be longer than any slice; an empty table
-gives an empty result; other columns are ignored.
+A row is known by its id or, where it has none or its id has several texts, by its id and
+a 64-bit hash of its text (``keyed``), so no row loses bytes for another's sake.
+
+Defined cases: a null text is empty; rows that share an id are one document in
+the order of documents, whatever their texts, and never lose bytes to each other; each keeps
+its own spans, and all are returned as often as they come; a row without an id comes after
+all rows with one (the id 2^63 - 1 counts as none), and such rows are ordered by
+the hash of their text, equal texts being one document; strings never cross
+rows; a text may be longer than any slice; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,15 +60,15 @@ GRAM, RANGE_BITS = 16, 12
 RANGE_ROWS, OPENED_ROWS = 1 << 21, 1 << 17
 #: Bytes of text for one range, beyond those of 2^RANGE_BITS ranges.
 RANGE_BYTES = 8 << 20
-#: The first of the numbers by which rows without an id are ordered.
-WITHOUT_ID = (1 << 63) - (1 << 40)
+#: The document number of rows without an id, which their keys order.
+WITHOUT_ID = (1 << 63) - 1
 #: Bytes of text whose rows are gathered before they are sent.
 GATHER = 8 << 20
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 19
 #: Bits of a sort key that hold a position; the others hold the leading bits of a bucket identifier.
 POSITION_BITS = np.uint64(31)
-SPANS = "doc_id long, kind byte, a int, b int, x long, y long"
+SPANS = "doc_id long, key long, kind byte, a int, b int, x long, y long"
 
 
 def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -199,56 +203,62 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition("part").sortWithinPartitions("part")
 
 
-def _spans(doc: np.ndarray, kind: np.ndarray | int, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
+def _later(doc: np.ndarray, key: np.ndarray, least: np.ndarray, least_key: np.ndarray) -> np.ndarray:
+    """Whether each document comes after the least one."""
+    return (doc > least) | ((doc == WITHOUT_ID) & (least == WITHOUT_ID) & (key > least_key))
+
+
+def _spans(doc: np.ndarray, key: np.ndarray, kind: np.ndarray | int, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
     kind = np.full(len(doc), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)
-    keys = [pa.nulls(len(doc), pa.int64()) if k is None else pa.array(k.view(np.int64)) for k in (x, y)]
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kind), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *keys], names=["doc_id", "kind", "a", "b", "x", "y"])
+    strings = [pa.nulls(len(doc), pa.int64()) if k is None else pa.array(k.view(np.int64)) for k in (x, y)]
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(kind), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *strings], names=["doc_id", "key", "kind", "a", "b", "x", "y"])
 
 
 def _settled(found: DataFrame, gone: Column, kept: Column | None) -> DataFrame:
     """``found`` with the rows that were dealt again by (x, y) decided: those of a larger document than the least go up to ``gone``, the others are to be opened up to ``kept`` or stay."""
     again = found.where(F.col("kind") == AGAIN)
     if not again.limit(1).count():
-        return found.select("doc_id", "kind", "a", "b")
-    least = again.groupBy("x", "y").agg(F.min("doc_id").alias("least"))
-    later = F.col("doc_id") > F.col("least")
+        return found.select("doc_id", "key", "kind", "a", "b")
+    least = again.groupBy("x", "y").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    later = (F.col("doc_id") > F.col("least.doc_id")) | ((F.col("doc_id") == WITHOUT_ID) & (F.col("least.doc_id") == WITHOUT_ID) & (F.col("key") > F.col("least.key")))
     again = again.join(least, ["x", "y"])
-    again = again.select("doc_id", F.when(later, GONE).otherwise(OPEN).cast("byte").alias("kind"), "a", F.when(later, gone).otherwise(F.col("b") if kept is None else kept).alias("b"))
-    return found.where(F.col("kind") != AGAIN).select("doc_id", "kind", "a", "b").unionByName(again)
+    again = again.select("doc_id", "key", F.when(later, GONE).otherwise(OPEN).cast("byte").alias("kind"), "a", F.when(later, gone).otherwise(F.col("b") if kept is None else kept).alias("b"))
+    return found.where(F.col("kind") != AGAIN).select("doc_id", "key", "kind", "a", "b").unionByName(again)
 
 
 #: Bits kept of a bucket identifier in an exchange; with the 40 of the refined one, 88 tell runs apart.
 KEY_BITS = 48
-#: Columns of a run: bucket, refined bucket, document, first string, strings less one, known to go.
-RUN = ((np.uint64, 6), (np.uint64, 5), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1))
-#: Columns of an opened run, whose bytes are the payload: bucket, document, first string, strings less one.
-OPENED = ((np.uint64, 6), (np.int64, 8), (np.uint32, 4), (np.uint8, 1))
+#: Columns of a run: bucket, refined bucket, document, key (mostly the document again, which compresses), first string, strings less one, known to go.
+RUN = ((np.uint64, 6), (np.uint64, 5), (np.int64, 8), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1))
+#: Columns of an opened run, whose bytes are the payload: bucket, document, key, first string, strings less one.
+OPENED = ((np.uint64, 6), (np.int64, 8), (np.int64, 8), (np.uint32, 4), (np.uint8, 1))
 #: Kinds of rows in the table of decisions: bytes a to b go; strings a to b are to be opened; a run of b more strings than one, or a string, is to be judged with those of its x and y.
 GONE, OPEN, AGAIN = 0, 1, 2
 
 
 def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFrame:
-    """Stage one: (doc_id, kind, a, b) for the runs of shared buckets."""
+    """Stage one: (doc_id, key, kind, a, b) for the runs of shared buckets."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, gathered = [], 0
 
         def rows() -> pa.RecordBatch:
-            bucket, refined, doc, first, more = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, k) for k, _ in RUN[:5])
-            order = np.lexsort((doc, refined, bucket))
-            bucket, refined, doc, first, more = (x[order] for x in (bucket, refined, doc, first, more))
+            bucket, refined, doc, key, first, more = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, k) for k, _ in RUN[:6])
+            order = np.lexsort((key, doc, refined, bucket))
+            bucket, refined, doc, key, first, more = (x[order] for x in (bucket, refined, doc, key, first, more))
             lead = np.ones(len(bucket), bool)
             lead[1:] = (bucket[1:] != bucket[:-1]) | (refined[1:] != refined[:-1])
-            known = doc > doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(doc) else lead
+            of = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+            known = _later(doc, key, doc[of], key[of])
             # these go for certain: dealt by their own hash, only to be passed on
             bucket[known] = common.mix(doc[known].astype(np.uint64) + first[known].astype(np.uint64))
             held.clear()
-            return Sender(RUN, bits).rows([bucket >> np.uint64(64 - KEY_BITS), refined, doc, first, more, known])
+            return Sender(RUN, bits).rows([bucket >> np.uint64(64 - KEY_BITS), refined, doc, key, first, more, known])
 
         for batch in common.slices(batches, "text", SLICE):
-            data, offsets = common.flat(batch.column(1))
+            data, offsets = common.flat(batch.column("text"))
             bucket, refined, text, first, more = runs(data, offsets, size)
-            held.append((common.mix(bucket), refined >> np.uint64(24), batch.column(0).to_numpy()[text], first.astype(np.uint32), more.astype(np.uint8)))
+            held.append((common.mix(bucket), refined >> np.uint64(24), *(batch.column(c).to_numpy()[text] for c in ("doc_id", "key")), first.astype(np.uint32), more.astype(np.uint8)))
             gathered += len(data)
             if gathered > GATHER:
                 yield rows()
@@ -256,44 +266,45 @@ def decided(docs: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFram
         yield rows()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for range_whole, (bucket, refined, doc, first, more, known, _) in Sender(RUN, bits).received(batches, RANGE_ROWS):
+        for range_whole, (bucket, refined, doc, key, first, more, known, _) in Sender(RUN, bits).received(batches, RANGE_ROWS):
             first, more, known = first.astype(np.int64), more.astype(np.int64), known.astype(bool)
             if known.any():
-                yield _spans(doc[known], GONE, first[known], first[known] + more[known] + size)
-                bucket, refined, doc, first, more = (x[~known] for x in (bucket, refined, doc, first, more))
+                yield _spans(doc[known], key[known], GONE, first[known], first[known] + more[known] + size)
+                bucket, refined, doc, key, first, more = (x[~known] for x in (bucket, refined, doc, key, first, more))
             if not len(doc):
                 continue
-            order = np.lexsort((doc, refined, bucket))
-            bucket, refined, doc, first, more = (x[order] for x in (bucket, refined, doc, first, more))
+            order = np.lexsort((key, doc, refined, bucket))
+            bucket, refined, doc, key, first, more = (x[order] for x in (bucket, refined, doc, key, first, more))
             new = np.ones(len(doc), bool)
             new[1:] = bucket[1:] != bucket[:-1]
             lead = new.copy()
             lead[1:] |= refined[1:] != refined[:-1]
             at = np.flatnonzero(new)
             group = np.cumsum(new) - 1
-            shared = (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))[group]
+            last = np.maximum.reduceat(doc, at)
+            shared = ((np.minimum.reduceat(doc, at) < last) | ((last == WITHOUT_ID) & (np.minimum.reduceat(key, at) < np.maximum.reduceat(key, at))))[group]
             several = (np.add.reduceat(lead.astype(np.int64), at) > 1)[group]
-            least = doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+            of = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+            later = _later(doc, key, doc[of], key[of])
             if not range_whole:
-                later = doc > least
-                yield _spans(doc[later], GONE, first[later], (first + more + size)[later])
-                yield _spans(doc[~later], AGAIN, first[~later], more[~later], bucket[~later], refined[~later])
+                yield _spans(doc[later], key[later], GONE, first[later], (first + more + size)[later])
+                yield _spans(doc[~later], key[~later], AGAIN, first[~later], more[~later], bucket[~later], refined[~later])
                 continue
-            gone = shared & (doc > least)
-            opened = shared & several & (doc == least)
+            gone = shared & later
+            opened = shared & several & ~later
             keep = gone | opened
-            yield _spans(doc[keep], np.where(gone, GONE, OPEN)[keep], first[keep], np.where(gone, first + more + size, first + more)[keep])
+            yield _spans(doc[keep], key[keep], np.where(gone, GONE, OPEN)[keep], first[keep], np.where(gone, first + more + size, first + more)[keep])
 
-    source = docs.select("doc_id", "text")
+    source = docs.select("doc_id", "key", "text")
     found = common.scratch(_dealt(source.mapInArrow(sent, Sender.schema)).mapInArrow(judged, SPANS), "runs")
     end = F.col("a") + F.col("b")
     return _settled(found, end + size, end)
 
 
 def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE_BITS) -> DataFrame:
-    """(doc_id, spans): the byte spans that go, as an array of (a, b), for each document that loses any. ``texts`` is ``docs`` dealt out by doc_id."""
+    """(doc_id, key, spans): the byte spans that go, as an array of (a, b), for each row that loses any. ``texts`` is ``docs`` dealt out by doc_id and key."""
     first = decided(docs, size, bits)
-    wanted = first.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    wanted = first.where(F.col("kind") == OPEN).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, gathered = [], 0
@@ -312,13 +323,11 @@ def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE
             row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
             items = spans.flatten()
             a, b = items.field("a").to_numpy().astype(np.int64), items.field("b").to_numpy().astype(np.int64)
-            inside = b + size <= np.diff(offsets)[row]  # rows that repeat an id may have other texts
-            row, a, b = row[inside], a[inside], b[inside]
             start, lengths = offsets[:-1][row] + a, b - a + size
             gram = refine(data, size)[0] >> POSITION_BITS
             width = size - GRAM + 1
-            key = np.minimum.reduceat(gram[common.ragged(start, np.full(len(start), width))], np.arange(len(start)) * width) if len(start) else gram[:0]
-            held.append((common.mix(key) >> np.uint64(64 - KEY_BITS), batch.column("doc_id").to_numpy()[row], a, b - a, lengths, data[common.ragged(start, lengths)]))
+            low = np.minimum.reduceat(gram[common.ragged(start, np.full(len(start), width))], np.arange(len(start)) * width) if len(start) else gram[:0]
+            held.append((common.mix(low) >> np.uint64(64 - KEY_BITS), *(batch.column(c).to_numpy()[row] for c in ("doc_id", "key")), a, b - a, lengths, data[common.ragged(start, lengths)]))
             gathered += int(lengths.sum())
             if gathered > GATHER:
                 yield rows()
@@ -326,33 +335,34 @@ def removed(docs: DataFrame, texts: DataFrame, size: int = 50, bits: int = RANGE
         yield rows()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for range_whole, (_, doc, first, more, payload) in Sender(OPENED, bits).received(batches, OPENED_ROWS):
+        for range_whole, (_, doc, key, first, more, payload) in Sender(OPENED, bits).received(batches, OPENED_ROWS):
             n = more.astype(np.int64) + 1
             lengths = n + size - 1
             start = np.cumsum(lengths) - lengths
             string, other = string_ids(payload, start, n, size)
-            doc, at = np.repeat(doc, n), common.ragged(first.astype(np.int64), n)
-            order = np.lexsort((doc, other, string))
-            string, other, doc, at = string[order], other[order], doc[order], at[order]
+            doc, key, at = np.repeat(doc, n), np.repeat(key, n), common.ragged(first.astype(np.int64), n)
+            order = np.lexsort((key, doc, other, string))
+            string, other, doc, key, at = (x[order] for x in (string, other, doc, key, at))
             new = np.ones(len(doc), bool)
             new[1:] = (string[1:] != string[:-1]) | (other[1:] != other[:-1])
-            gone = doc > doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            of = np.flatnonzero(new)[np.cumsum(new) - 1]
+            gone = _later(doc, key, doc[of], key[of])
             if not range_whole:
-                yield _spans(doc[~gone], AGAIN, at[~gone], at[~gone] + size, string[~gone], other[~gone])
-            doc, at = doc[gone], at[gone]
-            order = np.lexsort((at, doc))
-            doc, at = doc[order], at[order]
+                yield _spans(doc[~gone], key[~gone], AGAIN, at[~gone], at[~gone] + size, string[~gone], other[~gone])
+            doc, key, at = doc[gone], key[gone], at[gone]
+            order = np.lexsort((at, key, doc))
+            doc, key, at = doc[order], key[order], at[order]
             edge = np.ones(len(doc), bool)
-            edge[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > size)
+            edge[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] - at[:-1] > size)
             start = np.flatnonzero(edge)
             if len(start):
                 stop = np.append(start[1:], len(doc)) - 1
-                yield _spans(doc[start], GONE, at[start], at[stop] + size)
+                yield _spans(doc[start], key[start], GONE, at[start], at[stop] + size)
 
     # both joins with the texts are left joins on one exchange of them, which Spark makes once
-    strings = texts.join(wanted, "doc_id", "left").select("spans", *texts.columns).mapInArrow(opened, Sender.schema)
+    strings = texts.join(wanted, ["doc_id", "key"], "left").select("spans", *texts.columns).mapInArrow(opened, Sender.schema)
     second = _settled(common.scratch(_dealt(strings).mapInArrow(judged, SPANS), "strings"), F.col("a") + size, None)
-    return first.unionByName(second).where(F.col("kind") == GONE).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return first.unionByName(second).where(F.col("kind") == GONE).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def string_ids(payload: np.ndarray, start: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,6 +393,18 @@ def range_bits(docs: DataFrame) -> int:
     return max(RANGE_BITS, min(24, (total // RANGE_BYTES).bit_length()))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``key``: the id again, or a hash of the text where there is no id or the id has texts of several hashes."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where(F.col("doc_id") != WITHOUT_ID).groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b")
+    several = common.scratch(several.select("doc_id"), "ids")
+    if several.isEmpty():
+        return docs.withColumn("key", F.when(F.col("doc_id") == WITHOUT_ID, digest).otherwise(F.col("doc_id")))
+    marked = docs.join(common.with_broadcast_if_small(several.withColumn("_several", F.lit(True))), "doc_id", "left")
+    own = (F.col("doc_id") == WITHOUT_ID) | F.col("_several").isNotNull()
+    return marked.withColumn("key", F.when(own, digest).otherwise(F.col("doc_id"))).drop("_several")
+
+
 def whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
     """``covered`` with all bytes of each UTF-8 character of which it has any."""
     number = np.cumsum((data & 0xC0) != 0x80) - 1
@@ -394,9 +416,8 @@ def whole_characters(data: np.ndarray, covered: np.ndarray) -> np.ndarray:
 def without_repeats(docs: DataFrame, size: int = 50, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text", rows: bool = False, characters: bool = False) -> DataFrame:
     """Every row with doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
-    Rows with one id are expected to have one text. With ``rows`` the other
-    columns of the input come along as the struct ``row``; with ``characters``
-    a character of which some bytes go goes whole.
+    With ``rows`` the other columns of the input come along as the struct ``row``; with
+    ``characters`` a character of which some bytes go goes whole.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -424,10 +445,9 @@ def without_repeats(docs: DataFrame, size: int = 50, bits: int | None = None, id
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if rows else [])], names=[*names, *(["row"] if rows else [])])
 
     own = F.col(id_col).cast("long")
-    rank = F.coalesce(own, F.lit(WITHOUT_ID) + F.xxhash64(text_col).bitwiseAND(F.lit((1 << 40) - 1)))
     others = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if rows else []
-    full = docs.select(rank.alias("doc_id"), F.col(text_col).alias("text"), own.alias("id"), *others)
-    plain, texts = full.select("doc_id", "text"), full.repartition("doc_id")
+    full = keyed(docs.select(F.coalesce(own, F.lit(WITHOUT_ID)).alias("doc_id"), F.col(text_col).alias("text"), own.alias("id"), *others))
+    plain, texts = full.select("doc_id", "key", "text"), full.repartition("doc_id", "key")
     bits = range_bits(plain) if bits is None else bits
-    both = texts.join(removed(plain, texts, size, bits), "doc_id", "left").select("doc_id", "id", "text", "spans", *(["row"] if rows else []))
+    both = texts.join(removed(plain, texts, size, bits), ["doc_id", "key"], "left").select("doc_id", "id", "text", "spans", *(["row"] if rows else []))
     return both.mapInArrow(task, schema + (f", row {full.schema['row'].dataType.simpleString()}" if rows else ""))

@@ -109,7 +109,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, chunk_bytes: int =
                 serial += 1
         yield out()
 
-    marked.mapInArrow(task, CHUNKS).write.option("compression", "zstd").parquet(path)
+    common.write(marked.mapInArrow(task, CHUNKS), path)
 
 
 class _Reader:
