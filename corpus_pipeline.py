@@ -26,7 +26,7 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined and whose cross-entropy is in its calibrated range; the others go."""
     model = langid.learn(docs.select("text", "lang", langid.fold().alias("fold")))
-    return langid.predict(docs, model).where("not rejected").select("row.*")
+    return langid.predict(docs, model, priced=True).where("not rejected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
