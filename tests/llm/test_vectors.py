@@ -132,3 +132,21 @@ def test_local_roots():
             x, y = (next(k for k in iter(lambda s=s: s[0], None) if not s.__setitem__(0, parent[k]) and parent[k] == k) for s in ([int(x)], [int(y)]))
             parent[max(x, y)] = min(x, y)
         assert len(set(root.tolist())) == sum(parent[k] == k for k in range(60))
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 100_000)
+    common.bound_batches(spark)
+    try:
+        rows = spark.range(200, numPartitions=1).selectExpr("repeat('x', 5000) AS text")
+        found = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) == 200 and max(found) <= 40
+    finally:
+        monkeypatch.undo()
+        common.bound_batches(spark)

@@ -22,8 +22,18 @@ SLICE_BYTES = 4 << 20
 _made: list[str] = []
 
 
+#: Bytes of an Arrow batch between the JVM and a worker, beside the ten thousand rows that Spark allows: what both hold of long texts.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes. The setting counts when a plan runs, so it stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which ``clear`` deletes."""
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(clear)

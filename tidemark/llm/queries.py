@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, hnsw, langid, media, packing, pieces, pii, secrets, simhash, suffixes, twofit, warc, whitening
+from . import common, divergence, hnsw, langid, media, packing, pieces, pii, secrets, simhash, suffixes, twofit, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
