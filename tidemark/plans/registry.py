@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import asof, ensembles, evaluation, governance, models, timeseries, trading, vintages
+    from . import asof, ensembles, evaluation, governance, models, selection, timeseries, trading, vintages
 
-    return [asof, timeseries, evaluation, trading, models, governance, ensembles, vintages]
+    return [asof, timeseries, evaluation, trading, models, governance, ensembles, vintages, selection]
 
 
 def queries() -> dict:
