@@ -54,7 +54,10 @@ def newey_west(spark, sf_dir):
     return statistics.newey_west(returns(spark, sf_dir), "key", "month", "ret", NW).select("key", "n", "lags", r("tstat", "tstat"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT key, ret, ret - avg(ret) OVER (PARTITION BY key) AS e, row_number() OVER (PARTITION BY key ORDER BY month) AS k FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL),
+ n AS (SELECT key, count(*) AS n, avg(ret) AS mean, least(36, floor(4 * power(count(*) / 100.0, 2 / 9.0)))::INT AS lags FROM e GROUP BY 1),
+ g AS (SELECT a.key, sum(a.e * b.e * CASE WHEN a.k = b.k THEN 1 ELSE 2 * (1 - (a.k - b.k) / (lags + 1.0)) END) AS g FROM e a JOIN n ON n.key = a.key JOIN e b ON b.key = a.key AND b.k <= a.k AND a.k - b.k <= lags GROUP BY 1)
+ SELECT key, n, lags, {sql_r('CASE WHEN n > 1 AND g > 0 THEN mean / (sqrt(g) / n) END', 'tstat')} FROM n JOIN g USING (key)""")
 def newey_west_auto(spark, sf_dir):
     return statistics.newey_west(returns(spark, sf_dir), "key", "month", "ret").select("key", "n", "lags", r("tstat", "tstat"))
 
@@ -84,7 +87,12 @@ def carry_only_ic(spark, sf_dir):
     return statistics.information_coefficient(signals(spark, sf_dir), "key", "carry", "fwd").select("key", "n", r("ic", "ic"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY month) > count(*) OVER (PARTITION BY key) // 2 AS late, count(*) OVER (PARTITION BY key) AS n FROM ({SIGNALS_SQL}) WHERE signal IS NOT NULL AND fwd IS NOT NULL AND carry IS NOT NULL),
+ f AS (SELECT key, late, avg(signal) AS ms, avg(fwd) AS mf, avg(carry) AS mc, coalesce(covar_pop(signal, carry) / nullif(var_pop(carry), 0), 0) AS bs, coalesce(covar_pop(fwd, carry) / nullif(var_pop(carry), 0), 0) AS bf FROM x WHERE n >= 24 GROUP BY 1, 2),
+ z AS (SELECT x.key, x.late, signal - ms - bs * (carry - mc) AS p, fwd - mf - bf * (carry - mc) AS q FROM x JOIN f ON f.key = x.key AND f.late = x.late WHERE n >= 24),
+ rk AS (SELECT key, late, rank() OVER (PARTITION BY key, late ORDER BY p) + (count(*) OVER (PARTITION BY key, late, p) - 1) / 2.0 AS p, rank() OVER (PARTITION BY key, late ORDER BY q) + (count(*) OVER (PARTITION BY key, late, q) - 1) / 2.0 AS q FROM z),
+ ic AS (SELECT key, late, CASE WHEN count(*) >= 3 THEN corr(p, q) END AS ic FROM rk GROUP BY 1, 2), g AS (SELECT key, max(ic) FILTER (NOT late) AS a, max(ic) FILTER (late) AS b FROM ic GROUP BY 1)
+ SELECT k.key, {sql_r('a', 'first')}, {sql_r('b', 'second')}, {sql_r('a - b', 'drop')} FROM (SELECT DISTINCT key FROM ({SIGNALS_SQL})) k LEFT JOIN g ON g.key = k.key""")
 def half_sample_ic(spark, sf_dir):
     return statistics.half_sample_ic(signals(spark, sf_dir), "key", "month", "signal", "fwd", "carry").select("key", *(r(c, c) for c in ("first", "second", "drop")))
 

@@ -146,7 +146,13 @@ def run_alerts(spark, sf_dir):
     return runs.run_alerts(_runs(spark, sf_dir)).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH shares AS (SELECT l_orderkey AS run_id, l_returnflag AS feature, sum(l_quantity) / (sum(sum(l_quantity)) OVER (PARTITION BY l_orderkey)) AS share FROM lineitem GROUP BY 1, 2),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY share DESC, feature) AS rank FROM shares),
+ past AS (SELECT run_id, lag(run_id) OVER (PARTITION BY strategy ORDER BY o_orderdate, run_id) AS past FROM ({RUNS_SQL})),
+ r AS (SELECT n.run_id, n.feature, n.share, n.rank, coalesce(o.share, 0) AS was, o.rank AS wrank FROM ranked n JOIN past p ON p.run_id = n.run_id AND past IS NOT NULL LEFT JOIN ranked o ON o.run_id = p.past AND o.feature = n.feature),
+ a AS (SELECT 'importance_crossing' AS kind, 'info' AS severity, feature AS subject FROM r WHERE (share >= 0.2) <> (was >= 0.2) UNION ALL SELECT 'importance_shift', 'warning', feature FROM r WHERE abs(share - was) > 0.15
+  UNION ALL SELECT 'importance_first', 'info', feature FROM r WHERE rank = 1 AND coalesce(wrank <> 1, true))
+ SELECT kind, severity, subject, count(*) AS n FROM a GROUP BY 1, 2, 3""")
 def importance_alerts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     total = F.sum("l_quantity")
@@ -156,10 +162,16 @@ def importance_alerts(spark, sf_dir):
     return runs.importance_alerts(shares, _runs(spark, sf_dir)).groupBy("kind", "severity", "subject").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT l_orderkey AS run_id, l_linestatus AS instrument, sum(l_quantity) / 100 AS weight, round(avg(l_discount), 6) - 0.05 AS mu FROM lineitem GROUP BY 1, 2),
+ past AS (SELECT run_id, lag(run_id) OVER (PARTITION BY strategy ORDER BY o_orderdate, run_id) AS past FROM ({RUNS_SQL})),
+ m AS (SELECT n.weight - coalesce(o.weight, 0) AS move, past FROM w n JOIN past p ON p.run_id = n.run_id LEFT JOIN w o ON o.run_id = p.past AND o.instrument = n.instrument),
+ a AS (SELECT 'weight_move' AS kind, CASE WHEN abs(move) > 0.2 THEN 'warning' ELSE 'info' END AS severity FROM m WHERE past IS NOT NULL AND abs(move) > 0.1
+  UNION ALL SELECT 'gross_weight', 'critical' FROM (SELECT run_id FROM w GROUP BY 1 HAVING sum(abs(weight)) > 2)
+  UNION ALL SELECT 'signal_conflict', 'warning' FROM w WHERE abs(weight) > 0.05 AND ((weight > 0 AND mu < -0.01) OR (weight < 0 AND mu > 0.01)))
+ SELECT kind, severity, count(*) AS n FROM a GROUP BY 1, 2""")
 def weight_alerts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    w = li.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("instrument")).agg((F.sum("l_quantity") / 100).alias("weight"), (F.avg("l_discount") - 0.05).alias("mu"))
+    w = li.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("instrument")).agg((F.sum("l_quantity") / 100).alias("weight"), (F.round(F.avg("l_discount"), 6) - 0.05).alias("mu"))
     return runs.weight_alerts(w, _runs(spark, sf_dir)).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 
 

@@ -59,7 +59,7 @@ def risk_budget(spark, sf_dir):
     return b.select("book", "instrument", "direction", *(r(c, c) for c in ("risk_brl", "risk_pct", "expected_annual", "sharpe_part")))
 
 
-SIZED_SQL = f"""SELECT *, floor(exact + 0.5)::BIGINT AS contracts FROM (SELECT b.*, m.spot, m.embi, CASE instrument WHEN 'fx' THEN 10000.0 WHEN 'hard' THEN 50000.0 ELSE 100000.0 END AS size,
+SIZED_SQL = f"""SELECT *, floor(exact + 0.5)::BIGINT AS contracts FROM (SELECT b.*, m.* EXCLUDE (book), CASE instrument WHEN 'fx' THEN 10000.0 WHEN 'hard' THEN 50000.0 ELSE 100000.0 END AS size,
  CASE instrument WHEN 'front' THEN 0.95 WHEN 'belly' THEN 4.2 WHEN 'long' THEN 7.5 WHEN 'hard' THEN 4.5 ELSE 0 END AS dur, CASE instrument WHEN 'front' THEN di1y WHEN 'belly' THEN di5y WHEN 'long' THEN di10y END / 100 AS y,
  CASE instrument WHEN 'fx' THEN risk_brl / (vol30d / 100) / spot / 10000 WHEN 'hard' THEN least(risk_brl / (spot * embi) / (50000.0 * 4.5 / 10000), aum * 2 / (50000.0 * spot))
   ELSE risk_brl / (y * dur * 10000) / (100000 / power(1 + y, dur) * dur / 10000) END AS exact FROM ({BUDGET_SQL}) b JOIN ({MARKET_SQL}) m USING (book))"""
@@ -70,6 +70,10 @@ def size_contracts(spark, sf_dir):
     return positions(spark, sf_dir).select("book", "instrument", r("contracts_exact", "contracts_exact"), "contracts", r("margin_brl", "margin_brl"))
 
 
+#: Positions with all that the desk's reports read.
+POSITIONS_SQL = f"""SELECT *, CASE direction WHEN 'long' THEN 1 WHEN 'short' THEN -1 ELSE 0 END AS sgn, CASE WHEN y IS NOT NULL THEN risk_brl / (y * dur * 10000) END AS dv01, CASE instrument WHEN 'hard' THEN risk_brl / (spot * embi) END AS spread_dv01,
+ CASE WHEN instrument = 'fx' THEN risk_brl / (vol30d / 100) WHEN instrument = 'hard' THEN exact * size * spot ELSE exact * 100000 / power(1 + y, dur) END AS notional,
+ contracts * size * CASE WHEN instrument IN ('fx', 'hard') THEN spot ELSE 1 END * CASE instrument WHEN 'fx' THEN 0.15 WHEN 'hard' THEN 0.04 ELSE 0.02 END AS margin FROM ({SIZED_SQL})"""
 _RHO = "(VALUES " + ", ".join(f"('{a}', '{b}', {desk.CORRELATIONS[i][j]})" for i, a in enumerate(desk.NAMES) for j, b in enumerate(desk.NAMES)) + ") c(i, j, rho)"
 _VOL = "CASE instrument " + " ".join(f"WHEN '{n}' THEN {0.125 if n == 'fx' else v}" for n, v in desk.VOLATILITIES.items()) + " END"
 EXPOSED_SQL = f"SELECT book, instrument, CASE WHEN direction = 'flat' THEN 0 ELSE risk_brl END * {_VOL} / sqrt(252) AS v FROM ({BUDGET_SQL})"
@@ -88,7 +92,11 @@ def component_value_at_risk(spark, sf_dir):
     return c.select("book", "instrument", *(r(x, x) for x in ("marginal", "contribution", "share_pct")))
 
 
-@query()
+_SHOCKS = "(VALUES " + ", ".join(f"('{name}', '{n}', {x})" for name, row in desk.SCENARIOS.items() for n, x in zip(desk.NAMES, row)) + ") s(scenario, instrument, shock)"
+
+
+@query(f"""SELECT book, scenario, {sql_r('pnl', 'pnl_brl')}, {sql_r('pnl / aum * 100', 'pnl_pct')} FROM (SELECT book, scenario, any_value(aum) AS aum,
+ sum(-sgn * shock * CASE instrument WHEN 'fx' THEN notional WHEN 'hard' THEN spread_dv01 * 10000 ELSE dv01 * 10000 END) AS pnl FROM ({POSITIONS_SQL}) p JOIN {_SHOCKS} USING (instrument) GROUP BY 1, 2)""")
 def stress_scenarios(spark, sf_dir):
     return desk.stress(positions(spark, sf_dir)).select("book", "scenario", r("pnl_brl", "pnl_brl"), r("pnl_pct", "pnl_pct"))
 
@@ -98,7 +106,9 @@ def concentration(spark, sf_dir):
     return desk.exposure(positions(spark, sf_dir)).select("book", r("herfindahl", "herfindahl"), r("largest_pct", "largest_pct"))
 
 
-@query()
+@query(f"""SELECT book, {sql_r('aum', 'aum')}, {sql_r('gross', 'gross_brl')}, {sql_r('net', 'net_brl')}, {sql_r('delta', 'fx_delta_brl')}, {sql_r('dv', 'dv01_brl')}, {sql_r('sp', 'spread_dv01_usd')}, {sql_r('margin', 'margin_brl')}, {sql_r('largest * 100', 'largest_pct')}, {sql_r('hh', 'herfindahl')}, {sql_r('gross / aum', 'gross_leverage')}, {sql_r('net / aum', 'net_leverage')}, {sql_r('margin / aum * 100', 'margin_pct')} FROM (
+ SELECT book, any_value(aum) AS aum, sum(notional) AS gross, sum(notional * sgn) AS net, sum(CASE WHEN instrument = 'fx' THEN CASE WHEN weight > 0 THEN -notional ELSE notional END ELSE 0 END) AS delta, sum(coalesce(dv01, 0) * sgn) AS dv, sum(coalesce(spread_dv01, 0) * sgn) AS sp, sum(margin) AS margin, max(share) AS largest, sum(share * share) AS hh
+ FROM (SELECT *, risk_brl / sum(risk_brl) OVER (PARTITION BY book) AS share FROM ({POSITIONS_SQL})) GROUP BY 1)""")
 def exposure(spark, sf_dir):
     e = desk.exposure(positions(spark, sf_dir))
     return e.select("book", *(r(c, c) for c in e.columns if c != "book"))
@@ -112,14 +122,18 @@ def rebalancing(spark, sf_dir):
     return desk.rebalance(current, target).select("book", "instrument", "action", "delta")
 
 
-@query()
+@query(f"""SELECT book, instrument, {sql_r('now', 'current_price')}, {sql_r("CASE instrument WHEN 'fx' THEN notional / spot * (now - spot) * sgn WHEN 'hard' THEN -spread_dv01 * (now - embi) * sgn * 5.3 ELSE -dv01 * (now - y * 100) * 100 * sgn END + 0.0", 'pnl_brl')} FROM (
+ SELECT *, CASE instrument WHEN 'fx' THEN 5.3 WHEN 'front' THEN di1y WHEN 'belly' THEN 13.6 WHEN 'long' THEN di10y WHEN 'hard' THEN 240 END AS now FROM ({POSITIONS_SQL}))""")
 def mark_to_market(spark, sf_dir):
     later = market(spark, sf_dir).withColumn("spot", F.lit(5.3)).withColumn("embi", F.lit(240.0)).withColumn("di5y", F.lit(13.6))
     m = desk.mark_to_market(positions(spark, sf_dir), later)
     return m.select("book", "instrument", r("current_price", "current_price"), r("pnl_brl", "pnl_brl"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT *, CASE instrument WHEN 'fx' THEN 'fx' WHEN 'hard' THEN 'credit' ELSE 'rates' END AS factor, CASE instrument WHEN 'fx' THEN notional WHEN 'hard' THEN spread_dv01 * 50 ELSE dv01 * 100 END AS rk FROM ({POSITIONS_SQL})),
+ g AS (SELECT book, factor, sum(abs(notional)) AS e, sum(abs(rk)) AS rk FROM p GROUP BY 1, 2), b AS (SELECT book, any_value(aum) AS aum FROM p GROUP BY 1),
+ x AS (SELECT b.book, d.factor, lim, aum, coalesce(e, 0) AS e, coalesce(rk, 0) AS rk FROM b CROSS JOIN (VALUES ('fx', 30.0), ('rates', 100.0), ('credit', 50.0)) d(factor, lim) LEFT JOIN g ON g.book = b.book AND g.factor = d.factor)
+ SELECT book, factor, {sql_r('e', 'exposure_brl')}, {sql_r('e / aum * 100', 'exposure_pct')}, {sql_r('rk / sum(rk) OVER (PARTITION BY book) * 100', 'risk_pct')}, {sql_r('e / aum * 100 / lim * 100', 'utilization_pct')}, e / aum * 100 > lim AS breached FROM x""")
 def factor_exposure(spark, sf_dir):
     f = desk.factor_exposure(positions(spark, sf_dir))
     return f.select("book", "factor", *(r(c, c) for c in ("exposure_brl", "exposure_pct", "risk_pct", "utilization_pct")), "breached")
@@ -131,7 +145,8 @@ def fx_tickers(spark, sf_dir):
     return o.select("o_orderkey", desk.nearest_fx_ticker("WDO", F.col("o_orderdate")).alias("fx_ticker"))
 
 
-@query()
+@query("""SELECT o_orderkey, """ + ", ".join(f"'DI1' || substr('FGHJKMNQUVXZ', best.m, 1) || lpad(((year(o_orderdate) + {t} + (best.m < month(o_orderdate) AND best.d > 1)::INT) % 100)::VARCHAR, 2, '0') AS di{t}" for t in (1, 5, 10)) + """
+ FROM (SELECT *, list_min([{'d': abs(1 - month(o_orderdate)), 'm': 1}, {'d': abs(4 - month(o_orderdate)), 'm': 4}, {'d': abs(7 - month(o_orderdate)), 'm': 7}, {'d': abs(10 - month(o_orderdate)), 'm': 10}]) AS best FROM orders)""")
 def di_tickers(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", *(desk.nearest_di_ticker(t, F.col("o_orderdate")).alias(f"di{t}") for t in (1, 5, 10)))
@@ -184,7 +199,9 @@ def paper_telemetry(spark, sf_dir):
     return ledger.telemetry(x, "key").select("key", "n", *(r(c, c) for c in ("cumulative", "last", "max_drawdown", "vol")))
 
 
-@query()
+@query(f"""WITH x AS (SELECT *, product(1 + sleeve_return) OVER (PARTITION BY key ORDER BY month ROWS UNBOUNDED PRECEDING) AS c, CASE WHEN count(*) OVER w >= 6 THEN avg(sleeve_return) OVER w / nullif(stddev_samp(sleeve_return) OVER w, 0) END AS s FROM ({REALIZED_SQL}) WINDOW w AS (PARTITION BY key ORDER BY month ROWS 5 PRECEDING)),
+ y AS (SELECT *, c / max(c) OVER (PARTITION BY key ORDER BY month ROWS UNBOUNDED PRECEDING) - 1 AS d FROM x), g AS (SELECT key, min(d) AS d, arg_max(s, month) AS s FROM y GROUP BY 1)
+ SELECT key, {sql_r('d', 'drawdown')}, {sql_r('s', 'rolling_sharpe')}, d <= -0.03 OR coalesce(s < 0, false) AS halted FROM g""")
 def paper_breaker(spark, sf_dir):
     x = ledger.realizations(_decided(spark, sf_dir), returns(spark, sf_dir), "key", "2002-01-01")
     return ledger.circuit_breaker(x, "key").select("key", r("drawdown", "drawdown"), r("rolling_sharpe", "rolling_sharpe"), "halted")
@@ -196,7 +213,10 @@ def paper_pool(spark, sf_dir):
     return ledger.pooled(x, "key").select("month", r("ret", "ret"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT key, sleeve_return AS v, row_number() OVER (PARTITION BY key ORDER BY sleeve_return) - 1 AS k, count(*) OVER (PARTITION BY key) AS n FROM ({REALIZED_SQL})),
+ q AS (SELECT key, v FROM x WHERE k = floor((n - 1) * 0.05)), t AS (SELECT x.key, any_value(n) AS n, -any_value(q.v) AS var, -avg(x.v) AS es FROM x JOIN q ON q.key = x.key AND x.v <= q.v GROUP BY 1),
+ c AS (SELECT key, n, list_min([{{'v': 3.0::DOUBLE, 'b': 'requested'}}, {{'v': CASE WHEN var > 0 THEN 0.5 / var ELSE 'inf'::DOUBLE END, 'b': 'var'}}, {{'v': CASE WHEN es > 0 THEN 0.6 / es ELSE 'inf'::DOUBLE END, 'b': 'es'}}]) AS best FROM t)
+ SELECT key, n, n >= 24 AS active, {sql_r('CASE WHEN n >= 24 THEN best.v ELSE 3 END', 'applied')}, CASE WHEN n >= 24 THEN best.b ELSE 'inactive' END AS binding FROM c""")
 def leverage_gate(spark, sf_dir):
     x = ledger.realizations(_decided(spark, sf_dir), returns(spark, sf_dir), "key", "2002-01-01")
     g = ledger.leverage_gate(x, "key", 3.0, 0.5, 0.6)
