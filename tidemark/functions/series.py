@@ -159,6 +159,19 @@ def quantile_at(values: Column, fraction: float) -> Column:
     return F.get(values, at)
 
 
+def floor_quantiles(df: DataFrame, key: str, value: str, fractions: list[float]) -> DataFrame:
+    """(key, q: an array): the values at floor(fraction x n), the last one at most, of each key.
+
+    From counts of each value, added up in order: no key's values are ever listed in one row.
+    """
+    counts = df.where(known(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(key).orderBy("_v")
+    counts = counts.withColumns({"_upto": F.sum("_c").over(order.rowsBetween(START, 0)), "_n": F.sum("_c").over(Window.partitionBy(key))})
+    at = lambda p: F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1)
+    pick = lambda p: F.max(F.when((F.col("_upto") > at(p)) & (F.col("_upto") - F.col("_c") <= at(p)), F.col("_v")))
+    return counts.groupBy(key).agg(F.array(*map(pick, fractions)).alias("q"))
+
+
 def whole_sample_clip(df: DataFrame, by: str, value: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
     """``df`` with ``value`` clipped to its quantiles over the whole of each series. Not causal: for selectors that are fitted on one sample."""
     edges = df.groupBy(by).agg(F.percentile(value, F.lit(lower)).alias("_low"), F.percentile(value, F.lit(upper)).alias("_high"))

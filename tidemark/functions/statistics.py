@@ -85,12 +85,17 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Correlation over a group; null where either side does not vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def information_coefficient(df: DataFrame, key: str, predicted: str, realized: str, method: str = "spearman") -> DataFrame:
     """(key, n, ic): correlation over the rows where both are known; null under 3 rows."""
     both = df.where(F.col(predicted).isNotNull() & F.col(realized).isNotNull()).select(key, F.col(predicted).alias("p"), F.col(realized).alias("r"))
     if method == "spearman":
         both = both.select(key, average_rank("p", key).alias("p"), average_rank("r", key).alias("r"))
-    return both.groupBy(key).agg(F.count("*").alias("n"), F.corr("p", "r").alias("ic")).select(key, "n", F.when(F.col("n") >= 3, F.col("ic")).alias("ic"))
+    return both.groupBy(key).agg(F.count("*").alias("n"), correlation("p", "r").alias("ic")).select(key, "n", F.when(F.col("n") >= 3, F.col("ic")).alias("ic"))
 
 
 def residualize(df: DataFrame, key: str, y: str, x: str, name: str) -> DataFrame:

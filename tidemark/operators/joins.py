@@ -23,13 +23,15 @@ def asof_join(left: DataFrame, right: DataFrame, key: str | list[str], at: str,
     return both.where("_row is not null").select("_row.*", *(F.col(f"_value.v{i}").alias(c) for i, c in enumerate(values)))
 
 
-def range_join(rows: DataFrame, spans: DataFrame, at: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Each row with each span (both ends included) that holds its date.
+#: Spans that ``range_join`` broadcasts at most.
+FEW_SPANS = 1000
 
-    ``spans`` is a dimension of a few rows (dated scenarios); Spark broadcasts
-    it by its own size check. For spans without bound use ``range_join_days``.
-    """
-    return rows.join(spans, (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
+
+def range_join(rows: DataFrame, spans: DataFrame, at: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Each row with each span (both ends included) that holds its date: up to ``FEW_SPANS`` spans (dated scenarios) are broadcast, more go by ``range_join_days``."""
+    if spans.limit(FEW_SPANS + 1).count() > FEW_SPANS:
+        return range_join_days(rows, spans, at, start, end)
+    return rows.join(F.broadcast(spans), (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
 
 
 def range_join_days(rows: DataFrame, spans: DataFrame, at: str, start: str, end: str, days: int = 32) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import series
+from ..functions import series, statistics
 
 
 def tail(df: DataFrame, key: str, value: str, alpha: float = 0.05) -> DataFrame:
@@ -50,7 +50,7 @@ def covariance(panel: DataFrame, asset: str, at: str, value: str) -> DataFrame:
     a = known.select(at, F.col(asset).alias("i"), F.col(value).alias("x"))
     b = known.select(at, F.col(asset).alias("j"), F.col(value).alias("y"))
     both = a.join(b, at).where("i <= j")
-    return both.groupBy("i", "j").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"))
+    return both.groupBy("i", "j").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov"), statistics.correlation("x", "y").alias("corr"))
 
 
 def ewma_covariance(panel: DataFrame, asset: str, at: str, value: str, halflife: float = 12.0) -> DataFrame:

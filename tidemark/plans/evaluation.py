@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import series, statistics
-from ..operators import risk
+from ..operators import gate, risk
 from ..session import table
 from .base import RETURNS_SQL, SIGNALS_SQL, r, returns, signals, sql_r, timeline
 
@@ -256,3 +256,34 @@ def rolling_sharpe(spark, sf_dir):
     sd = series.rolling(F.stddev_pop, "ret", w, 12)
     s = returns(spark, sf_dir).select("key", (series.rolling(F.avg, "ret", w, 12) / F.when(sd != 0, sd) * 12**0.5).alias("s")).where("s is not null")
     return s.groupBy("key").agg(r(F.max("s"), "high"), r(F.min("s"), "low"), r(F.avg("s"), "mean"), r(F.avg((F.col("s") > 0).cast("double")), "above"))
+
+
+GATE_SQL = f"""WITH f AS (SELECT key, month, signal, fwd, carry FROM ({SIGNALS_SQL}) WHERE signal IS NOT NULL AND fwd IS NOT NULL AND carry IS NOT NULL)"""
+
+
+@query(f"""{GATE_SQL}, ic AS (SELECT key, count(*) AS n, corr(p, q) AS ic FROM (SELECT key, {RANKED.format('signal')} AS p, {RANKED.format('fwd')} AS q FROM f) GROUP BY 1),
+ b AS (SELECT key, avg(signal) AS ms, avg(fwd) AS mf, avg(carry) AS mc, coalesce(covar_pop(signal, carry) / nullif(var_pop(carry), 0), 0) AS bs, coalesce(covar_pop(fwd, carry) / nullif(var_pop(carry), 0), 0) AS bf FROM f GROUP BY 1),
+ z AS (SELECT f.key, signal - ms - bs * (carry - mc) AS p, fwd - mf - bf * (carry - mc) AS q FROM f JOIN b USING (key)),
+ cn AS (SELECT key, corr(rp, rq) AS ic FROM (SELECT key, {RANKED.format('p')} AS rp, {RANKED.format('q')} AS rq FROM z) GROUP BY 1),
+ co AS (SELECT key, corr(p, q) AS ic FROM (SELECT key, {RANKED.format('carry')} AS p, {RANKED.format('fwd')} AS q FROM f) GROUP BY 1)
+ SELECT ic.key, n, {sql_r('ic.ic', 'ic')}, {sql_r('cn.ic', 'carry_neutral_ic')}, {sql_r('co.ic', 'carry_only_ic')} FROM ic JOIN cn USING (key) JOIN co USING (key)""")
+def instrument_measures(spark, sf_dir):
+    m = gate.instrument_measures(signals(spark, sf_dir), "key", "month", "signal", "fwd", "carry")
+    return m.select("key", "n", *(r(c, c) for c in ("ic", "carry_neutral_ic", "carry_only_ic")))
+
+
+@query()
+def promotion_report(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    overlay = s.where("fwd is not null and signal is not null").groupBy("month").agg(F.avg(F.signum("signal") * F.col("fwd")).alias("ret"))
+    trials = _known(spark, sf_dir).select(F.col("key").alias("trial"), "month", "ret")
+    g = gate.promotion_report(s, overlay, "key", "month", "signal", "fwd", "carry", "ret", 10, candidates=trials)
+    return g.select("overlay_n", "instruments", *(r(c, c) for c in ("overlay_sharpe", "overlay_dsr", "carry_sharpe", "carry_neutral_ic", "carry_neutral_ic_t", "worst_fold", "decay", "pbo")), F.array_join("reasons", ", ").alias("reasons"), "passed")
+
+
+@query()
+def rank_signals(spark, sf_dir):
+    s = signals(spark, sf_dir).withColumn("level", F.avg("ret").over(timeline().rowsBetween(-2, 0)))
+    pairs = s.select(F.col("key").alias("instrument"), "month", "fwd", "carry", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("signal")) for c in ("ret", "signal", "level")))).alias("f")).select("instrument", "month", "fwd", "carry", "f.*")
+    found = gate.rank_signals(pairs, "month")
+    return found.select("instrument", "feature", "n", "rank", "hypotheses", *(r(c, c) for c in ("ic", "carry_neutral_ic", "decay", "fold_mean", "fold_least")), F.array_join("reasons", ", ").alias("reasons"), "passed")

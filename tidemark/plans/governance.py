@@ -54,8 +54,9 @@ def back_fill(spark, sf_dir):
 @query(f"""WITH x AS (SELECT key, list(ret ORDER BY ret) AS v FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL GROUP BY 1)
  SELECT key, {', '.join(sql_r(f'v[least(floor({p} * len(v))::INT, len(v) - 1) + 1]', f'q{int(p * 100)}') for p in (0.05, 0.5, 1.0))} FROM x""")
 def floor_quantiles(spark, sf_dir):
-    v = returns(spark, sf_dir).where("ret is not null").groupBy("key").agg(F.sort_array(F.collect_list("ret")).alias("v"))  # the months of a series
-    return v.select("key", *(r(series.quantile_at(F.col("v"), p), f"q{int(p * 100)}") for p in (0.05, 0.5, 1.0)))
+    fractions = (0.05, 0.5, 1.0)
+    q = series.floor_quantiles(returns(spark, sf_dir), "key", "ret", list(fractions))
+    return q.select("key", *(r(F.get("q", F.lit(k)), f"q{int(p * 100)}") for k, p in enumerate(fractions)))
 
 
 @query(f"""WITH x AS ({RETURNS_SQL}), q AS (SELECT key, quantile_cont(ret, 0.05) AS a, quantile_cont(ret, 0.95) AS b FROM x GROUP BY 1)

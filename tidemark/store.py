@@ -51,8 +51,10 @@ def observations(series: DataFrame, lag_days, publish_time=None) -> DataFrame:
 
 
 def append(ledger: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ledger with new rows, numbered from its last _seq on in order of knowledge, series and event; nothing is ever changed.
+    """The ledger with new rows, numbered from its last _seq on by day of knowledge, series, knowledge and event; nothing is ever changed.
 
+    The numbers follow from the rows alone, not from where Spark keeps them, so a task that runs again gives the same ones: a row's
+    number is what the days before have, what the day's series before have, and its place in its own day and series.
     The numbering has one writer: call it from one place at a time.
     """
     from pyspark.sql.types import _parse_datatype_string
@@ -60,12 +62,26 @@ def append(ledger: DataFrame, rows: DataFrame) -> DataFrame:
     top = ledger.agg(F.coalesce(F.max("_seq"), F.lit(-1))).first()[0]
     have = {f.name: f.dataType for f in _parse_datatype_string(LEDGER).fields if f.name != "_seq"}
     full = rows.select(*(F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in have.items()))
-    order = ["knowledge_time", "series_id", "event_time"]
-    ordered = full.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ordered = ordered.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ordered.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ordered.join(F.broadcast(sizes), "_part")  # one row a partition
-    return ledger.unionByName(numbered.withColumn("_seq", top + F.col("_before") + F.col("_row")).select(*have, "_seq"))
+    full = full.withColumns({"_day": F.coalesce(F.to_date("knowledge_time"), F.lit("0001-01-01").cast("date")), "_series": F.coalesce("series_id", F.lit(""))})
+    place = F.row_number().over(Window.partitionBy("_day", "_series").orderBy("knowledge_time", "event_time", *(c for c in have if c not in ("knowledge_time", "event_time"))))
+    counts = full.groupBy("_day", "_series").agg(F.count("*").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = counts.groupBy("_day").agg(F.sum("_n").alias("_n")).select("_day", before(Window.orderBy("_day")).alias("_earlier"))  # a row for each day
+    counts = counts.withColumn("_before", before(Window.partitionBy("_day").orderBy("_series"))).drop("_n").join(days, "_day")
+    numbered = full.withColumn("_row", place).join(counts, ["_day", "_series"])
+    return ledger.unionByName(numbered.withColumn("_seq", top + F.col("_earlier") + F.col("_before") + F.col("_row")).select(*have, "_seq"))
+
+
+def save(ledger: DataFrame, path: str) -> None:
+    """Write a ledger as Parquet, a folder for each series, each with the files of one task."""
+    ledger.repartition("series_id").write.partitionBy("series_id").mode("errorifexists").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    """A saved ledger. A filter on the series reads its folder only."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    return spark.read.schema(LEDGER).parquet(path).select(*(f.name for f in _parse_datatype_string(LEDGER).fields))
 
 
 def as_of_series(ledger: DataFrame, cutoff, series_id: str) -> DataFrame:
