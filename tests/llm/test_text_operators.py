@@ -436,6 +436,27 @@ def test_linked_credentials_need_complements():
     assert "bare" not in {s[0] for s in secrets.scan(far)[1]}
 
 
+def test_links_are_those_of_all_pairs():
+    rng = random.Random(12)
+    access, secret = "AKIA" + "Q" * 16, "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY01"
+    seen = set()
+    for _ in range(800):
+        parts = [rng.choice([access, secret, "https://x.example/", "token=abcdef1", "0123456789abcdef01234567", "plain words", "https://y:80"]) for _ in range(rng.randint(1, 6))]
+        text = "".join(p + " " * rng.choice([1, 3, 20, 60]) for p in parts)
+        reach = rng.choice([0, 1, 5, 25, 60])
+        base, every = secrets.scan(text, reach)
+        meets = lambda a, b: a[1] - reach <= b[2] and b[1] <= a[2] + reach
+        of = lambda kind, found: [s for s in found if s[0] == kind]
+        bare = [("bare", *m.span()) for m in secrets.BARE.finditer(text) if secrets._mixed(m.group())]
+        bare = [s for s in bare if any(meets(s, a) for a in of("access", base))]
+        strong = [*of("assign", base), *of("hex", base), *bare]
+        ends = [("endpoint", *m.span()) for m in secrets.ENDPOINT.finditer(text)]
+        ends = [s for s in ends if any(meets(s, a) for a in of("access", base)) and any(meets(s, a) for a in strong)]
+        assert sorted(every) == sorted([*base, *bare, *ends])
+        seen |= {(bool(bare), bool(ends))}
+    assert len(seen) == 4
+
+
 PARTS = ["a@b.co", "x.y+z@d-e.org.uk", "@", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "0001.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+1", "+44 20 7946 0958 ", " ", ".", "7", "é", "AKIA", "ABCDEFGHIJKLMNOP", "token=", "Secret: '", "abcdef01", "api_key ", ":", "=", '"', "password", "%", "-"]
 
 

@@ -219,7 +219,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
 
     A sequence_id has the round and task that closed it in its upper bits; it
     is unique, not gapless. Memory of a task: its open windows, one slice of
-    text and the remembered words.
+    text and the remembered words; a text longer than a slice, and one that cannot be cut
+    because it has no blank or one beside other white space, is encoded whole.
     """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,9 @@ The join runs on sorted starts, one search for each candidate: no pairs are
 made, and no shuffle is needed as a scope lies in one row.
 
 Defined cases: a null or empty text has no spans; overlapping spans of
-different kinds are all reported; repeated rows are each reported; an empty
-table gives an empty result; other columns are ignored.
+different kinds are all reported; repeated rows, and rows without an id, are each reported; an
+empty table gives an empty result; other columns are ignored. A text of any length is
+scanned whole: memory of a task is an Arrow batch of texts, or its longest text, and its spans.
 """
 
 from __future__ import annotations
