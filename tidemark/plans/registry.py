@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from . import asof, ensembles, equilibrium, evaluation, governance, models, selection, timeseries, trading, vintages
+    from . import asof, ensembles, equilibrium, evaluation, features, governance, models, selection, timeseries, trading, vintages
 
-    return [asof, timeseries, evaluation, trading, models, governance, ensembles, vintages, selection, equilibrium]
+    return [asof, timeseries, evaluation, trading, models, governance, ensembles, vintages, selection, equilibrium, features]
 
 
 def queries() -> dict:
