@@ -157,14 +157,19 @@ class Ledger:
         return h
 
     def verdict(self, spec: dict, least_dsr: float = 0.95) -> dict:
-        """Score the frozen stream exactly once.
+        """Score the frozen stream exactly once, see ``score``."""
+        h = strategy_hash(spec)
+        rows = self.read("realizations")
+        return self.score(h, None if rows is None else rows.where((F.col("strategy_hash") == h) & (F.col("stream") == "frozen")), least_dsr)
+
+    def score(self, h: str, stream: DataFrame | None, least_dsr: float, least_deviation: float = 0.0) -> dict:
+        """Score a stream (strategy_hash, sleeve_return) under the hash ``h`` exactly once.
 
         A strategy with a recorded verdict gets that one. Else the basis must
         be there and the stream must have exactly the agreed length; its
         consumption is written before anything is scored, so a failure in
-        between spends the trial.
+        between spends the trial. A stream that varies by ``least_deviation`` or less does not pass.
         """
-        h = strategy_hash(spec)
         own = lambda kind: None if (t := self.read(kind)) is None else t.where(F.col("strategy_hash") == h)
         if (v := own("verdicts")) is not None and (row := v.first()):
             return row.asDict()
@@ -173,12 +178,13 @@ class Ledger:
             raise PermissionError("no deflation basis is booked")
         if (c := own("consumed")) is not None and c.limit(1).count():
             raise PermissionError("the trial is spent")
-        stream = own("realizations")
-        n = stream.where("stream = 'frozen'").count() if stream is not None else 0
+        size = stream.agg(F.count("*").alias("n"), F.stddev_samp("sleeve_return").alias("sd")).first() if stream is not None else None
+        n = size["n"] if size else 0
         if n != basis["eval_at_n"]:
             raise PermissionError(f"{n} months, {basis['eval_at_n']} agreed")
         self.append("consumed", self.spark.createDataFrame([(h, n)], "strategy_hash string, n int"))
-        s = statistics.sharpe_statistics(stream.where("stream = 'frozen'"), "strategy_hash", "sleeve_return", basis["n_trials"], basis["sr_std"]).first()
-        passed = s["dsr"] is not None and s["dsr"] >= least_dsr
-        self.append("verdicts", self.spark.createDataFrame([(h, n, s["sharpe"], s["psr"], s["dsr"], passed)], "strategy_hash string, n int, sharpe double, psr double, dsr double, passed boolean"))
+        s = statistics.sharpe_statistics(stream, "strategy_hash", "sleeve_return", basis["n_trials"], basis["sr_std"]).first()
+        varied = size["sd"] is not None and size["sd"] > least_deviation
+        passed = varied and s["dsr"] is not None and s["dsr"] >= least_dsr and (s["sharpe"] or 0.0) > 0
+        self.append("verdicts", self.spark.createDataFrame([(h, n, s["sharpe"], s["psr"], s["dsr"], bool(passed))], "strategy_hash string, n int, sharpe double, psr double, dsr double, passed boolean"))
         return self.read("verdicts").where(F.col("strategy_hash") == h).first().asDict()

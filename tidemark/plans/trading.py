@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import series
-from ..operators import desk, execution, intelligence, ledger
+from ..operators import autonomy, desk, execution, intelligence, ledger
 from ..session import table
 from .base import RETURNS_SQL, monthly, r, returns, signals, sql_r, timeline
 
@@ -263,3 +263,28 @@ def top_k_mask(spark, sf_dir):
 def rolling_importance(spark, sf_dir):
     s = signals(spark, sf_dir).select("key", "month", "signal", "carry", "fwd")
     return intelligence.rolling_importance(s, "key", "month", ["signal", "carry"], "fwd").withColumn("importance", r("importance", "importance"))
+
+
+OPERATED_SQL = f"SELECT key, month, round(frozen_position / 2, 6) AS operator_position FROM ({POSITION_SQL}) WHERE month(month) % 4 <> 0"
+
+
+@query(f"""WITH o AS ({OPERATED_SQL}) SELECT o.key, o.month, {sql_r('o.operator_position', 'held')}, {sql_r('coalesce(b.operator_position, 0)', 'previous')}, {sql_r('o.operator_position * ret - abs(o.operator_position - coalesce(b.operator_position, 0)) * 0.0002', 'sleeve_return')}
+ FROM o LEFT JOIN o b ON b.key = o.key AND last_day((b.month + 1)::DATE) = o.month JOIN ({RETURNS_SQL}) x ON x.key = o.key AND x.month = o.month WHERE ret IS NOT NULL""")
+def operator_realizations(spark, sf_dir):
+    decided = _decided(spark, sf_dir)
+    operator = decided.where("month(month) % 4 <> 0").select("key", "month", F.round(F.col("frozen_position") / 2, 6).alias("operator_position"))
+    x = autonomy.operator_realizations(decided, operator, returns(spark, sf_dir), "key", "2002-01-01")
+    return x.select("key", "month", *(r(c, c) for c in ("held", "previous", "sleeve_return")))
+
+
+@query()
+def sizing_trial(spark, sf_dir):
+    x = ledger.realizations(_decided(spark, sf_dir), returns(spark, sf_dir), "key", "2002-01-01").where("stream = 'frozen'")
+    t = autonomy.sizing_trial(autonomy.sized_returns(x, "key"), "key", 10)
+    return t.select("key", *(r(c, c) for c in ("flat_dsr", "sized_dsr", "flat_sharpe", "sized_sharpe")), "met")
+
+
+@query(f"""SELECT key, {sql_r('avg(m) * 12 * 0.0005', 'drag')}, {sql_r('avg(m)', 'turnover')} FROM (SELECT key, abs(frozen_position - coalesce(lag(frozen_position) OVER (PARTITION BY key ORDER BY month), 0)) AS m FROM ({POSITION_SQL})) GROUP BY 1""")
+def execution_drag(spark, sf_dir):
+    d = autonomy.execution_drag(_decided(spark, sf_dir), "key", "month", "frozen_position", 5)
+    return d.select("key", r("drag", "drag"), r("turnover", "turnover"))
