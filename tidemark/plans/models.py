@@ -11,7 +11,7 @@ from ..operators import joins, models, regimes, risk, runs
 from ..session import shared_folder, table
 from ..sources import parsers
 from ..streaming import filters, jobs
-from .base import RETURNS_SQL, monthly, r, returns, signals, sql_r, timeline
+from .base import MONTHLY_SQL, RETURNS_SQL, monthly, r, returns, signals, sql_r, timeline
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -67,7 +67,10 @@ def regime_blend(spark, sf_dir):
     return m.select("key", "month", r(rstar, "rstar"), r(models.policy_regime(F.col("a")), "signal"))
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS (SELECT key, month, n::DOUBLE AS v, row_number() OVER (PARTITION BY key ORDER BY month) AS k FROM ({MONTHLY_SQL})),
+ f AS (SELECT key, month, k, v AS level, 10.05::DOUBLE * (1 - 10.05 / 11.05) AS p FROM x WHERE k = 1
+  UNION ALL SELECT x.key, x.month, x.k, level + (p + 0.05) / (p + 1.05) * (v - level), (p + 0.05) * (1 - (p + 0.05) / (p + 1.05)) FROM f JOIN x ON x.key = f.key AND x.k = f.k + 1)
+ SELECT key, month, {sql_r('level', 'level')}, {sql_r('level - 1.96 * sqrt(p)', 'level_low')}, {sql_r('level + 1.96 * sqrt(p)', 'level_high')} FROM f""")
 def local_level(spark, sf_dir):
     m = monthly(spark, sf_dir).withColumn("v", F.col("n").cast("double")).select("key", "month", "v")
     x = models.local_level(m, "key", "month", "v")

@@ -216,7 +216,9 @@ def previous_calendar_month(spark, sf_dir):
     return joins.previous_month(monthly(spark, sf_dir).select("key", "month", "total"), "key", "month", "total")
 
 
-@query()
+@query(f"""WITH x AS (SELECT key, month, ret, row_number() OVER (PARTITION BY key ORDER BY month) AS k FROM ({RETURNS_SQL}) WHERE ret IS NOT NULL),
+ g AS (SELECT a.key, a.month, a.k, sum(power(1 - 2 / 21.0, a.k - b.k)) AS w, sum(power(1 - 2 / 21.0, 2 * (a.k - b.k))) AS w2, sum(power(1 - 2 / 21.0, a.k - b.k) * b.ret) AS s, sum(power(1 - 2 / 21.0, a.k - b.k) * b.ret * b.ret) AS q FROM x a JOIN x b ON a.key = b.key AND b.k <= a.k GROUP BY 1, 2, 3)
+ SELECT key, month, {sql_r('CASE WHEN k >= 6 THEN s / w END', 'ewm_mean')}, {sql_r('CASE WHEN k >= 6 THEN sqrt(greatest(q / w - s * s / w / w, 0) * w * w / (w * w - w2)) END', 'ewm_std')} FROM g""")
 def ewm_volatility(spark, sf_dir):
     e = series.ewm(returns(spark, sf_dir).where("ret is not null").select("key", "month", "ret"), "key", "month", "ret", span=20, least=6)
     return e.select("key", "month", r("ewm_mean", "ewm_mean"), r("ewm_std", "ewm_std"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import series
 from ..operators import autonomy, desk, execution, intelligence, ledger
 from ..session import table
-from .base import RETURNS_SQL, monthly, r, returns, signals, sql_r, timeline
+from .base import RETURNS_SQL, SIGNALS_SQL, monthly, r, returns, signals, sql_r, timeline
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -235,7 +235,10 @@ def performance_weights(spark, sf_dir):
     return intelligence.ewma_performance_weights(known, "key", "month", "ret").select("key", "month", r("weight", "weight"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT key, month, abs(ret - signal) AS e FROM ({SIGNALS_SQL})), p AS (SELECT key, month, list_sort(list_filter(list(e) OVER (PARTITION BY key ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda v: v IS NOT NULL)) AS past FROM e),
+ w AS (SELECT key, month, CASE WHEN len(past) >= 24 THEN past[least(ceil(least(1.0, ceil((len(past) + 1) * 0.9 - 1e-12) / len(past)) * (len(past) - 1) - 1e-9), len(past) - 1)::INT + 1] END AS width FROM p),
+ c AS (SELECT *, CASE WHEN count(width) OVER w >= 12 THEN median(width) OVER w / nullif(width, 0) END AS ratio FROM w WINDOW w AS (PARTITION BY key ORDER BY month ROWS UNBOUNDED PRECEDING))
+ SELECT key, month, {sql_r('width', 'width')}, {sql_r('CASE WHEN ratio IS NOT NULL THEN least(ratio, 1) END', 'confidence')} FROM c""")
 def conformal_intervals(spark, sf_dir):
     w = timeline()
     s = signals(spark, sf_dir).withColumn("width", intelligence.conformal_width(F.col("ret") - F.col("signal"), w))
