@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +53,9 @@ def clear(spark: SparkSession | None = None) -> None:
     _made.clear()
 
 
+#: Scratch tables after which the driver lets go of what finished queries left: their plans, and the files of their shuffles.
+TIDY = 8
+
 #: On a local or mounted file system Hadoop starts a process for the mode and writes a checksum file for each file it makes; its plain file system does neither. Other stores don't look at this.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
@@ -66,6 +70,9 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     write(df, path)
+    if len(_made) % TIDY == 0:
+        gc.collect()  # the JVM keeps what Python still names
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
