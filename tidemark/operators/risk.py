@@ -12,14 +12,30 @@ from pyspark.sql import functions as F
 from ..functions import series, statistics
 
 
+#: Ranks on either side of the one sought that the middle class of ``tail`` spans, as a share of a key's rows; ten times the error of the approximate quantiles.
+BRACKET = 1e-3
+
+
 def tail(df: DataFrame, key: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """(key, n, var, es): the loss at the lower order statistic floor((n - 1) alpha), and the mean loss at or beyond it."""
-    known = df.select(key, value).where(F.col(value).isNotNull())  # other columns may be named as the results are
-    n = known.groupBy(key).agg(F.count("*").alias("n"))
-    at = F.floor((F.col("n") - 1) * alpha) + 1
-    ranked = known.select(key, F.col(value).alias("v"), F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("rn"))
-    edge = ranked.join(n, key).where(F.col("rn") == at).select(key, "n", F.col("v").alias("q"))
-    return known.join(edge, key).where(F.col(value) <= F.col("q")).groupBy(key).agg(F.first("n").alias("n"), (-F.first("q")).alias("var"), (-F.avg(value)).alias("es"))
+    """(key, n, var, es): the loss at the lower order statistic floor((n - 1) alpha), and the mean loss at or beyond it.
+
+    Two approximate quantiles cut a key's values into three classes, whose exact counts tell in
+    which of them the order statistic lies; only the distinct values of that class are ranked. So no task holds
+    a key's rows, and the result does not depend on how good the quantiles are. A few numbers for each key are broadcast.
+    """
+    known = df.select(F.col(key).alias("_key"), F.col(value).alias("_v")).where("_v is not null")  # other columns may be named as the results are
+    shares = F.array(*(F.lit(min(max(x, 0.0), 1.0)) for x in (alpha - BRACKET, alpha + BRACKET)))
+    cuts = known.groupBy("_key").agg(F.count("*").alias("n"), F.percentile_approx("_v", shares, round(10 / BRACKET)).alias("_cuts"))
+    cuts = cuts.withColumn("_at", F.floor((F.col("n") - 1) * alpha) + 1)
+    rows = known.join(F.broadcast(cuts), "_key").withColumn("_class", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    counts = rows.groupBy("_key", "_class").agg(F.count("*").alias("_in"), F.first("n").alias("n"), F.first("_at").alias("_at"))
+    below = F.sum("_in").over(Window.partitionBy("_key").orderBy("_class")) - F.col("_in")  # three rows a key
+    sought = counts.withColumn("_at", F.col("_at") - below).where((F.col("_at") > 0) & (F.col("_at") <= F.col("_in"))).select("_key", "_class", "_at", "n")
+    inside = rows.select("_key", "_class", "_v").join(F.broadcast(sought), ["_key", "_class"]).groupBy("_key", "_at", "n", "_v").agg(F.count("*").alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy("_key").orderBy("_v"))
+    edge = inside.withColumn("_upto", upto).where("_upto >= _at and _upto - _in < _at").select("_key", "n", F.col("_v").alias("_q"))
+    found = known.join(F.broadcast(edge), "_key").where("_v <= _q").groupBy("_key").agg(F.first("n").alias("n"), (-F.first("_q")).alias("var"), (-F.avg("_v")).alias("es"))
+    return found.withColumnRenamed("_key", key)
 
 
 def parametric_var(mu: Column, sigma: Column, alpha: float = 0.05) -> Column:
