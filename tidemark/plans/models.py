@@ -299,7 +299,7 @@ def streaming_order_states(spark, sf_dir):
     e = _event_stream(spark, sf_dir)
     moves = F.element_at(F.create_map(*(F.lit(x) for p in (("view", "WORKING"), ("click", "PARTIAL"), ("purchase", "FILLED"), ("error", "CANCELED"), ("signup", "REJECTED")) for x in p)), F.col("event_type"))
     orders = e.select(F.floor(F.col("event_id") / 6).cast("long").alias("order_id"), F.col("event_id").alias("seq"), moves.alias("target"), F.lit(10.0).alias("qty"), F.when(F.col("event_type").isin("click", "purchase"), 2.0).otherwise(0.0).alias("fill_qty"), F.col("value").alias("fill_price"))
-    return _finish(spark, jobs.order_states(orders)).select("order_id", "seq", "state", "filled", "legal")
+    return jobs.moves_of(_finish(spark, jobs.order_states(orders), ["order_id"])).select("order_id", "seq", "state", "filled", "legal")
 
 
 # filters over the same stream; each user's events are a series

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,30 +39,36 @@ def append_absent(rows: DataFrame, path: str, keys: list[str], checkpoint: str)
 
 
 def order_states(events: DataFrame) -> DataFrame:
-    """(order_id, seq, state, filled, avg_price, legal) for every event (order_id, seq, target, qty, fill_qty, fill_price) of a stream.
+    """(order_id, moves) for every order of a stream of events (order_id, seq, target, qty, fill_qty, fill_price), in update mode: ``moves`` has (seq, state, filled, avg_price, legal) for each of the order's events so far, by ``seq``. ``moves_of`` makes rows of them.
 
     A move that the state machine does not allow leaves the state as it is
-    and is marked. Each order keeps one small state.
+    and is marked. An order's events are its state, so events that come late fall into place; the work is in SQL
+    expressions, since a Python call for each order costs milliseconds.
     """
-    moves = execution.TRANSITIONS
-    out = "order_id long, seq long, state string, filled double, avg_price double, legal boolean"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, filled, price = state.get if state.exists else ("NEW", 0.0, 0.0)
-        rows = []
-        for batch in batches:
-            for e in batch.sort_values("seq").itertuples():
-                legal = e.target in moves[now]
-                if legal:
-                    now = e.target
-                    if e.fill_qty and e.fill_qty > 0:
-                        price = (price * filled + e.fill_price * e.fill_qty) / (filled + e.fill_qty)
-                        filled = min(filled + e.fill_qty, e.qty)
-                rows.append((key[0], e.seq, now, filled, price if filled else None, legal))
-        state.update((now, filled, price))
-        yield pd.DataFrame(rows, columns=["order_id", "seq", "state", "filled", "avg_price", "legal"])
-
-    return events.groupBy("order_id").applyInPandasWithState(step, out, "state string, filled double, price double", "append", GroupStateTimeout.NoTimeout)
+    event = F.struct(F.col("seq").isNull().alias("last"), F.col("seq").cast("long").alias("seq"), "target", *(F.col(c).cast("double").alias(c) for c in ("qty", "fill_qty", "fill_price")))
+    move = "struct<seq: long, state: string, filled: double, avg_price: double, legal: boolean>"
+
+    def step(now: Column, e: Column) -> Column:
+        legal = execution.can_transition(now["state"], e["target"])
+        fills = F.coalesce(legal & (e["fill_qty"] > 0) & ~F.isnan(e["fill_qty"]), F.lit(False))
+        state = F.when(legal, e["target"]).otherwise(now["state"])
+        total = now["filled"] + e["fill_qty"]
+        price = F.when(fills, (now["price"] * now["filled"] + e["fill_price"] * e["fill_qty"]) / total).otherwise(now["price"])
+        filled = F.when(fills, F.least(total, e["qty"])).otherwise(now["filled"])
+        return F.struct(state.alias("state"), filled.alias("filled"), price.alias("price"), legal.alias("legal"), e["seq"].alias("seq"))
+
+    def grow(now: Column, e: Column) -> Column:
+        x = step(now["now"], e)
+        shown = F.struct(x["seq"].alias("seq"), x["state"].alias("state"), x["filled"].alias("filled"), F.when((x["filled"] != 0) & ~F.isnan(x["price"]), x["price"]).alias("avg_price"), x["legal"].alias("legal"))
+        return F.struct(x.alias("now"), F.array_append(now["moves"], shown).alias("moves"))
+
+    start = F.struct(F.struct(F.lit("NEW").alias("state"), F.lit(0.0).alias("filled"), F.lit(0.0).alias("price"), F.lit(True).alias("legal"), F.lit(0).cast("long").alias("seq")).alias("now"), F.array().cast(f"array<{move}>").alias("moves"))
+    return events.groupBy("order_id").agg(F.collect_list(event).alias("events")).select("order_id", F.aggregate(F.array_sort("events"), start, grow, lambda x: x["moves"]).alias("moves"))
+
+
+def moves_of(orders: DataFrame) -> DataFrame:
+    """(order_id, seq, state, filled, avg_price, legal): a row for each move of ``order_states``."""
+    return orders.select("order_id", F.inline("moves"))
 
 
 def live_breaker(returns: DataFrame, most_drawdown: float = -0.03) -> DataFrame:
