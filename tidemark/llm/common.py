@@ -53,9 +53,6 @@ def clear(spark: SparkSession | None = None) -> None:
     _made.clear()
 
 
-#: Scratch tables after which the driver lets go of what finished queries left: their plans, and the files of their shuffles.
-TIDY = 8
-
 #: On a local or mounted file system Hadoop starts a process for the mode and writes a checksum file for each file it makes; its plain file system does neither. Other stores don't look at this.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
@@ -65,14 +62,18 @@ def write(df: DataFrame, path: str) -> None:
     df.write.options(**PLAIN_FILES).option("compression", "zstd").parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver go of what finished queries left: their plans, and the files of their shuffles. Else its heap grows to its bound, from query to query."""
+    gc.collect()  # the JVM keeps what Python still names
+    spark._jvm.System.gc()
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again, which cuts the lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it again, which cuts the lineage; the driver is tidied."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     write(df, path)
-    if len(_made) % TIDY == 0:
-        gc.collect()  # the JVM keeps what Python still names
-        spark._jvm.System.gc()
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
