@@ -19,7 +19,7 @@ def _windowed_rows(df) -> int:
         name = node.nodeName()
         if name == "AdaptiveSparkPlan":
             return walk(node.executedPlan(), under)
-        if name.startswith(("ShuffleQueryStage", "BroadcastQueryStage", "ReusedExchange")):
+        if "QueryStage" in name or name.startswith("ReusedExchange"):
             return walk(node.plan() if "QueryStage" in name else node.child(), under)
         under = under or name == "Window"
         if name == "Exchange":
@@ -40,7 +40,7 @@ def test_tail_ranks_no_whole_key(spark):
     df = spark.createDataFrame(rows, "key string, v double").repartition(4)
     out = risk.tail(df, "key", "v", 0.05)
     got = {r.key: (r.n, r.var, r.es) for r in out.collect()}
-    assert _windowed_rows(out) < 6_000  # of 39,006
+    assert 0 < _windowed_rows(out) < 6_000  # of 39,006
     edge = np.sort(values)[int((len(values) - 1) * 0.05)]
     assert got["a"][:2] == (len(values), -edge) and got["a"][2] == -np.mean(values[values <= edge])
     assert got["b"] == (9_000, -1.5, -1.5) and got["c"] == (1, -2.0, -2.0) and set(got) == {"a", "b", "c"}
